@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,8 +143,23 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once a session, in case they can't import it already."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quillveil_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    at = Path(tempfile.mkdtemp(prefix="quillveil-")).resolve() / "quillveil_package.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(at))
+    sc._quillveil_shipped = True
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most `rows` rows, so that a batch of very long texts fits a worker."""
+    """Ready for Python workers: the package shipped, and Arrow batches of at most `rows` rows, so that a batch of very long texts fits a worker."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 

@@ -101,3 +101,36 @@ def op10_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .word_bpe import encode_table
 
     return encode_table(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+#: op7: the mixture reaches this share of the largest entropy, over one pass' worth of tokens, in so many blocks
+OP7 = {"entropy_share": 0.97, "max_repeats": 4.0, "blocks": 64, "seed": 7}
+
+
+@query
+def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix, solve, source_sizes, tokens_of
+
+    scratch = Scratch(spark, "op7")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", tokens_of(F.col("text")).alias("n_tokens"))
+    docs = scratch.keep(docs)
+    sizes = scratch.keep(source_sizes(docs))
+    total = sizes.agg(F.sum("tokens")).first()[0] or 0
+    mixture = solve(sizes, OP7["entropy_share"], OP7["max_repeats"], float(total))
+    return mix(docs, mixture, sizes, OP7["blocks"], OP7["seed"], scratch)
+
+
+def crc_mod(n: int, remainder: int):
+    """Whether crc32 of doc_id as text leaves this remainder."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n == remainder, F.lit(False))
+
+
+@query
+def op3_levenshtein_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, score_table, training_rows
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = crc_mod(4, 2)
+    scratch = Scratch(spark, "op3")
+    model = learn(training_rows(docs, table(spark, sf_dir, "labels"), held, scratch), scratch)
+    return score_table(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
