@@ -134,3 +134,11 @@ def op3_levenshtein_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op3")
     model = learn(training_rows(docs, table(spark, sf_dir, "labels"), held, scratch), scratch)
     return score_table(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op1_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import score_texts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return score_texts(docs, crc_mod(7, 2), tokenizer_file("piece_bpe_32k.model"), Scratch(spark, "op1"), F.col("lang"))
