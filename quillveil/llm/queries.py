@@ -142,3 +142,10 @@ def op1_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return score_texts(docs, crc_mod(7, 2), tokenizer_file("piece_bpe_32k.model"), Scratch(spark, "op1"), F.col("lang"))
+
+
+@query
+def op2_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rp_forest import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), Scratch(spark, "op2"))
