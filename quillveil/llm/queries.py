@@ -149,3 +149,10 @@ def op2_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rp_forest import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), Scratch(spark, "op2"))
+
+
+@query
+def op4_token_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import similar_sets
+
+    return similar_sets(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op4"), size=4, percent=85)
