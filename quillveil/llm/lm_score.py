@@ -16,12 +16,14 @@ from .common import Scratch, small_batches
 from .lattice import Pieces, expected_counts, load_pieces, log_likelihood
 
 #: words that go to the workers as a table: the most frequent, and none longer than HOT_BYTES
-HOT_WORDS = 100_000
+HOT_WORDS = 200_000
 HOT_BYTES = 48
 #: classes that get word counts of their own: the most frequent ones in training
 MAX_CLASSES = 6
 #: mass taken from each word count for the level below, in the classes and in all text
 DISCOUNT_CLASS, DISCOUNT_ALL = 0.5, 0.75
+#: words that the lattice is worked over at once, so that blocks of equal length are long
+WORDS_AT_ONCE = 60_000
 #: count that every piece has before any word is seen
 PIECE_PRIOR = 0.01
 
@@ -115,6 +117,19 @@ def count_words(docs: DataFrame, classes: int) -> DataFrame:
     return rows.groupBy("word").agg(*[F.sum(n).alias(n) for n in names])
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together up to WORDS_AT_ONCE rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= WORDS_AT_ONCE:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def fit_pieces(words: DataFrame, pieces: Pieces, log_p: np.ndarray) -> np.ndarray:
     """One round of expectation maximisation over every distinct training word.
 
@@ -127,7 +142,7 @@ def fit_pieces(words: DataFrame, pieces: Pieces, log_p: np.ndarray) -> np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, lp = shared.value
         total = np.zeros(p.size)
-        for batch in batches:
+        for batch in _joined(batches):
             w = batch.column(0).to_pylist()
             total += expected_counts(w, np.ones(len(w)), p, lp)[0]
         at = np.flatnonzero(total)
@@ -197,15 +212,15 @@ def _score(docs: DataFrame, counts: DataFrame, names: list[str], model: Model, p
 
     def lattices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, lp, m = shared.value
-        for batch in batches:
+        for batch in _joined(batches):
             words = batch.column(0).to_pylist()
             got = np.stack([batch.column(k + 1).to_numpy() for k in range(n_classes)], axis=1).astype(float)
             logs = _word_scores(m, got, log_likelihood(words, p, lp))
             total = got.sum(axis=1)
-            yield pa.RecordBatch.from_arrays(
+            yield from pa.table(
                 [batch.column(0), pa.array((total > 0).astype(np.int64)), pa.array(_base(m, total)), *[pa.array(logs[:, k]) for k in range(n_classes)]],
                 ["word", "known", "base", *sums],
-            )
+            ).to_batches(max_chunksize=10_000)
 
     rated = scratch.keep(counts.mapInArrow(lattices, "word binary, known long, base double, " + ", ".join(f"{s} double" for s in sums)))
     every = sum((F.col(n) for n in names), F.lit(0))
@@ -229,25 +244,38 @@ def _score(docs: DataFrame, counts: DataFrame, names: list[str], model: Model, p
         end_known = int(m.docs > 0)
         end = m.end_log_p()
         for batch in batches:
-            cols: list[list] = [[] for _ in range(8 + n_classes)]
-            for doc_id, text, held, row in zip(*[batch.column(k).to_pylist() for k in range(4)]):
+            n, n_known, at_base, at_sums = [], [], [], []
+            cold, tfs, owners = [], [], []
+            for row, text in zip(batch.column(3).to_pylist(), batch.column(1).to_pylist()):
                 ws = words_of(text)
                 at = list(map(index.get, ws))
                 if None in at:
-                    for w, tf in Counter(w for w, a in zip(ws, at) if a is None).items():
-                        for c, v in zip(cols, (doc_id, held, row, w, tf)):
-                            c.append(v)
-                    hits = np.array([a for a in at if a is not None], dtype=np.int64)
-                else:
-                    hits = np.array(at, dtype=np.int64)
-                n = len(cols[0]) - len(cols[5])
-                for c in cols[5:]:
-                    c.extend([None] * n)
-                sums_k = logs[hits].sum(axis=0) + end
-                for c, v in zip(cols, (doc_id, held, row, None, 0, len(ws) + 1, int(known[hits].sum()) + end_known, float(base[hits].sum()) + end_base, *map(float, sums_k))):
-                    c.append(v)
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), *[pa.float64()] * n_classes]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "held_out", "row", "word", "tf", "n_tokens", "n_known", "base", *sums])
+                    rest = Counter([w for w, a in zip(ws, at) if a is None])
+                    cold += rest.keys()
+                    tfs += rest.values()
+                    owners.append(np.full(len(rest), row))
+                    at = [a for a in at if a is not None]
+                hits = np.array(at, dtype=np.int64)
+                n.append(len(ws) + 1)
+                n_known.append(int(known[hits].sum()) + end_known)
+                at_base.append(float(base[hits].sum()) + end_base)
+                at_sums.append(logs[hits].sum(axis=0) + end)
+            d, m = batch.num_rows, len(cold)
+            s = np.array(at_sums).reshape(d, n_classes)
+
+            def column(values, kind: pa.DataType, tail: pa.Array | None = None) -> pa.Array:
+                head = values if isinstance(values, pa.Array) else pa.array(values, kind)
+                return pa.concat_arrays([head.cast(kind), tail if tail is not None else pa.nulls(m, kind)])
+
+            yield pa.RecordBatch.from_arrays(
+                [
+                    column(batch.column(0), pa.int64()), column(batch.column(2), pa.bool_()),
+                    column(batch.column(3), pa.int64(), pa.array(np.concatenate(owners) if owners else [], pa.int64())),
+                    column(pa.nulls(d, pa.binary()), pa.binary(), pa.array(cold, pa.binary())), column(np.zeros(d, np.int64), pa.int64(), pa.array(tfs, pa.int64())),
+                    column(n, pa.int64()), column(n_known, pa.int64()), column(at_base, pa.float64()), *[column(s[:, k], pa.float64()) for k in range(n_classes)],
+                ],
+                ["doc_id", "held_out", "row", "word", "tf", "n_tokens", "n_known", "base", *sums],
+            )
 
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out", F.monotonically_increasing_id().alias("row"))
     seen = scratch.keep(numbered.mapInArrow(look_up, fields))
