@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, lookup, small_batches
@@ -24,6 +24,8 @@ COUNTED = 0.25
 FREQUENT, MAX_FREQUENT = 24, 1_000_000
 #: sets below this size index single tokens only; above, a group for each GROUP_TOKENS tokens
 PAIRS_FROM, GROUP_TOKENS = 32, 16
+#: members up to which an entry's nodes are paired, and rows of a larger family compared in one task
+FEW, BLOCK = 24, 2048
 #: bits of the filter that tells which texts are read again
 FILTER_BITS = 1 << 24
 
@@ -179,10 +181,11 @@ def similar_sets(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int
     themselves; a null doc_id has a null component; an empty table gives no
     rows; other columns aren't read.
 
-    Texts with equal sets are one node.  Nodes that share an entry are candidates;
-    those of one entry are first compared with its smallest node, which joins groups of copies
-    of any size by as many comparisons as they have members; then nodes that share an entry but
-    are still in different components are compared pair by pair.
+    Texts with equal sets are one node.  Nodes that share an entry are candidates: in
+    entries of FEW members they are paired; those of larger ones are first compared with one
+    node, which joins groups of copies of any size by as many comparisons as they have
+    members, and then, where that leaves different components, in blocks whose
+    overlaps are counted by matrix products.
     """
     spark = scratch.spark
     small_batches(spark, 500)
@@ -240,80 +243,133 @@ def similar_sets(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int
         keep[1:] |= same
         keep[:-1] |= same
         entry, node = entry[keep], node[keep]
+        starts = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]]) if len(entry) else np.zeros(0, np.int64)
+        n = np.diff(np.r_[starts, len(entry)])
+        count, leader = np.repeat(n, n), np.repeat(node[starts], n)
         for at in range(0, len(entry), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(entry[at : at + (1 << 16)]), pa.array(node[at : at + (1 << 16)])], ["entry", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in (entry, node, count, leader)], ["entry", "node", "members", "leader"])
 
-    members = both.where("is_entry").select("entry", "node").repartition(parts, "entry").mapInArrow(common, "entry long, node long")
-    members = scratch.keep(members.join(nodes.select("node", "rep", F.col("n").alias("size")), "node").select("entry", "rep", "size"))
+    members = both.where("is_entry").select("entry", "node").repartition(parts, "entry").mapInArrow(common, "entry long, node long, members long, leader long")
+    members = scratch.keep(members.join(nodes.select("node", "rep", F.col("n").alias("size")), "node").select("entry", "rep", "size", "members", "leader"))
 
-    def stars(key_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _pairs(key_batches, percent, stars_only=True)
+    few, many = members.where(F.col("members") <= FEW), members.where(F.col("members") > FEW)
+    families = scratch.keep(many.select("leader", "rep", "size").distinct())
+    heads = families.groupBy("leader").agg(F.min_by(F.struct("rep", "size"), "rep").alias("head"))
+    stars = families.join(heads, "leader").where(F.col("rep") > F.col("head.rep")).where(_sizes_fit(F.col("size"), F.col("head.size"), percent)).select(F.col("head.rep").alias("a"), F.col("rep").alias("b"))
 
-    def crossings(key_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _pairs(key_batches, percent, stars_only=False)
+    def pairs_of_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _pairs(batches, percent)
 
-    pair_type = "a long, b long"
-    first = scratch.keep(
-        members.select("entry", "rep", "size", F.col("rep").alias("component")).repartition(parts, "entry").mapInArrow(stars, pair_type).distinct()
-    )
-    wanted = scratch.keep(members.select("rep").distinct())
-    sets = scratch.keep(_sets(docs, wanted, size, scratch))
-    links = scratch.keep(_verified(first, sets, percent))
+    pairs = few.select("entry", "rep", "size").repartition(parts, "entry").mapInArrow(pairs_of_few, "a long, b long").union(stars)
+    pairs = scratch.keep(pairs.distinct())
+    sets = scratch.keep(_sets(docs, members.select("rep").distinct(), size, scratch))
+    links = scratch.keep(_verified(pairs, sets, percent))
+    scratch.drop(members, pairs)
     comps = components(links, scratch)
-    labelled = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("entry", "rep", "size", F.coalesce("component", "rep").alias("component"))
-    second = scratch.keep(
-        labelled.repartition(parts, "entry").mapInArrow(crossings, pair_type).distinct().join(first, ["a", "b"], "left_anti")
-    )
-    if second.limit(1).count():
-        more = scratch.keep(_verified(second, sets, percent))
-        if more.limit(1).count():
-            comps = components(links.union(more), scratch)
-    scratch.drop(sets, members, first, second)
+    more = _across(families, comps, sets, percent, scratch)
+    if more is not None:
+        comps = components(links.union(more), scratch)
+    scratch.drop(sets, families)
     heads = nodes.select("node", "rep", "copies").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("node", "copies", F.coalesce("component", "rep").alias("component_id"))
     out = lookup(rows, heads, "node", "copies", F.coalesce("doc_id", "n"))
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"))
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], percent: int, stars_only: bool) -> Iterator[pa.RecordBatch]:
-    """Candidates of each entry: its smallest node with each other one, or all pairs in different components.
+def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
-    Pairs whose sizes rule a link out are left out.
-    """
-    held = [tuple(np.asarray(b.column(k)) for k in range(4)) for b in batches]
+
+def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """All pairs of nodes of each entry, once from a task, but for those whose sizes rule a link out."""
+    held = [tuple(np.asarray(b.column(k)) for k in range(3)) for b in batches]
     if not held:
         return
-    entry, rep, size, comp = (np.concatenate(x) for x in zip(*held))
+    entry, rep, size = (np.concatenate(x) for x in zip(*held))
     order = np.lexsort((rep, entry))
-    entry, rep, size, comp = entry[order], rep[order], size[order], comp[order]
-    starts = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]])
+    entry, rep, size = entry[order], rep[order], size[order]
     found: list[np.ndarray] = []
-    n = 0
-
-    def out() -> Iterator[pa.RecordBatch]:
-        if found:
-            p = np.unique(np.concatenate(found), axis=0)
-            found.clear()
-            for at in range(0, len(p), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(p[at : at + (1 << 16), 0]), pa.array(p[at : at + (1 << 16), 1])], ["a", "b"])
-
-    for s, e in zip(starts, np.r_[starts[1:], len(entry)]):
-        if stars_only:
-            a, b = np.full(e - s - 1, s), np.arange(s + 1, e)
-            ok = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
-            found.append(np.stack([rep[a[ok]], rep[b[ok]]], axis=1))
-            n += len(found[-1])
-        elif (comp[s:e] != comp[s]).any():
-            for k in range(s, e - 1):
-                b = np.arange(k + 1, e)
-                ok = (comp[b] != comp[k]) & (100 * np.minimum(size[k], size[b]) >= percent * np.maximum(size[k], size[b]))
-                if ok.any():
-                    found.append(np.stack([np.full(ok.sum(), rep[k]), rep[b[ok]]], axis=1))
-                    n += len(found[-1])
-        if n > 2_000_000:
-            yield from out()
-            n = 0
-    yield from out()
+    # partners at a distance of 1, 2, ... places; entries have FEW members at most
+    for step in range(1, FEW):
+        a = np.flatnonzero(entry[step:] == entry[:-step])
+        if not len(a):
+            break
+        b = a + step
+        ok = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
+        found.append(np.unique(np.stack([rep[a[ok]], rep[b[ok]]], axis=1), axis=0))
+    if found:
+        p = np.unique(np.concatenate(found), axis=0)
+        for at in range(0, len(p), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(p[at : at + (1 << 16), 0]), pa.array(p[at : at + (1 << 16), 1])], ["a", "b"])
+
+
+def _across(families: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
+    """Links (a, b) between different components in entries of many members, or None.
+
+    The entries with the same smallest node make a family.  Nodes outside the component of a family's
+    head are compared with all of the family, BLOCK by BLOCK; what comes back is
+    a row for each node with a link, never pairs.
+    """
+    comp = F.coalesce("component", "rep")
+    labelled = scratch.keep(families.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("leader", "rep", comp.alias("component")))
+    heads = labelled.groupBy("leader").agg(F.min_by("component", "rep").alias("head"), F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    odd = labelled.join(heads, "leader").withColumn("odd", F.col("component") != F.col("head"))
+    odd_n = odd.where("odd").groupBy("leader").agg(F.count("*").alias("m"))
+    sized = odd.join(odd_n, "leader").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("guests", F.ceil(F.col("m") / BLOCK))
+    if not sized.limit(1).count():
+        return None
+    spread = F.xxhash64("rep")
+    base = sized.select("leader", "rep", "component", F.pmod(spread, "blocks").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("guests") - 1)).alias("guest"), F.lit(False).alias("odd"))
+    guests = sized.where("odd").select("leader", "rep", "component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("at"), F.pmod(spread, "guests").alias("guest"), F.lit(True).alias("odd"))
+    rows = base.union(guests).join(sets, "rep")
+
+    def compare(table: pa.Table) -> pa.Table:
+        rep, comp, odd = (table.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "component", "odd"))
+        tokens = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("tokens").combine_chunks()]
+        a, b = np.flatnonzero(odd), np.flatnonzero(~odd)
+        n = np.array([len(t) for t in tokens])
+        linked = overlaps([tokens[k] for k in a], [tokens[k] for k in b])
+        union = n[a][:, None] + n[b][None, :] - linked
+        x, y = np.nonzero((100 * linked >= percent * union) & (comp[a][:, None] != comp[b][None, :]))
+        values, place = np.unique(rep, return_inverse=True)
+        root = values.copy()
+        p, q = place[a[x]], place[b[y]]
+        while True:
+            before = root.copy()
+            np.minimum.at(root, p, root[q])
+            np.minimum.at(root, q, root[p])
+            if (before == root).all():
+                break
+        some = np.flatnonzero(root != values)
+        return pa.table({"a": values[some], "b": root[some]})
+
+    return scratch.keep(rows.groupBy("leader", "at", "guest").applyInArrow(compare, "a long, b long").distinct())
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of a with all of b, by products of 0/1 matrices."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    if not len(a) or not len(b):
+        return out
+    both = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), assume_unique=True)
+
+    def cells(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        tokens = np.concatenate(sets)
+        col = np.searchsorted(both, tokens)
+        col[col == len(both)] = 0
+        hit = both[col] == tokens if len(both) else np.zeros(len(tokens), bool)
+        return row[hit], col[hit]
+
+    (ra, ca), (rb, cb) = cells(a), cells(b)
+    for at in range(0, len(both), 4096):
+        x = np.zeros((len(a), min(4096, len(both) - at)), np.float32)
+        y = np.zeros((len(b), x.shape[1]), np.float32)
+        ia, ib = (ca >= at) & (ca < at + 4096), (cb >= at) & (cb < at + 4096)
+        x[ra[ia], ca[ia] - at] = 1
+        y[rb[ib], cb[ib] - at] = 1
+        out += (x @ y.T).astype(np.int64)
+    return out
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int, scratch: Scratch) -> DataFrame:
