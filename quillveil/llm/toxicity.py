@@ -17,13 +17,18 @@ from .common import Scratch, small_batches
 
 _WORD = re.compile(r"\w+")
 #: rounds of term search, each over the toxic rows that no term has hit yet
-ROUNDS = 3
+ROUNDS = 4
+#: share of a round's best evidence that its terms have at least: words that merely stand in the same
+#: toxic rows are explained by then, and don't come up again over the rows that are left
+TIER = 0.25
 #: times as frequent in toxic rows as in others that a term is at least
 PURITY = 20
 #: lengths of the word beginnings that are tried as terms of their own, for families of forms
 STEMS = (4, 5, 6, 7, 8)
 #: most terms that a lexicon holds; the strongest by evidence stay, which bounds what is broadcast
 MAX_TERMS = 5000
+#: terms that misspellings are looked for: the strongest by evidence
+FUZZY_TERMS = 200
 #: labelled rows that a model is learned from, at most: those that come first by a hash of their id
 TRAIN_ROWS = 40_000
 #: words to either side of a hit that are looked at for signs of quotation
@@ -51,9 +56,9 @@ class Lexicon:
     def __init__(self, terms: dict[str, float], stems: dict[str, float]):
         self.terms, self.stems = terms, stems
         self.trie: dict = {}
-        self.parts: set[str] = set()
+        self.parts: dict[str, tuple[int, int]] = {}  # part: first and last place where it may stand
         self.most = 0
-        for t in terms:
+        for t in sorted(terms, key=lambda t: (-terms[t], t))[:FUZZY_TERMS]:
             if d := edits_for(t):
                 node = self.trie
                 for c in t:
@@ -61,8 +66,12 @@ class Lexicon:
                 node[""] = t
                 self.most = max(self.most, d)
                 cuts = [len(t) * k // (d + 1) for k in range(d + 2)]
-                self.parts.update(t[a:b] for a, b in zip(cuts, cuts[1:]))
+                for a, b in zip(cuts, cuts[1:]):
+                    low, high = self.parts.get(t[a:b], (a - d, a + d))
+                    self.parts[t[a:b]] = (min(low, a - d), max(high, a + d))
         self.part_lengths = sorted({len(p) for p in self.parts})
+        self.last_place = max((high for _, high in self.parts.values()), default=0)
+        self.stem_lengths = sorted({len(s) for s in stems})
         self.known: dict[str, tuple[str, int] | None] = {}
 
     def match(self, word: str) -> tuple[str, int] | None:
@@ -75,8 +84,8 @@ class Lexicon:
             found = (word, 0)
         else:
             found = None
-            for n in STEMS:
-                if len(word) > n and word[:n] in self.stems:
+            for n in self.stem_lengths:
+                if len(word) >= n and word[:n] in self.stems:
                     found = (word[:n] + "*", 0)
                     break
             if found is None and 4 <= len(word) <= 40 and self._may(word):
@@ -87,9 +96,11 @@ class Lexicon:
         return found
 
     def _may(self, word: str) -> bool:
+        parts, end = self.parts, min(len(word), self.last_place + 1)
         for n in self.part_lengths:
-            for i in range(len(word) - n + 1):
-                if word[i : i + n] in self.parts:
+            for i in range(min(end, len(word) - n + 1)):
+                at = parts.get(word[i : i + n])
+                if at is not None and at[0] <= i <= at[1]:
                     return True
         return False
 
@@ -128,7 +139,8 @@ def hits_of(text: str | None, lexicon: Lexicon) -> tuple[list[Hit], int]:
     low = (text or "").lower()
     words = _WORD.findall(low)
     match = lexicon.match
-    bad = {w for w in set(words) if match(w)}
+    known = lexicon.known
+    bad = {w for w in set(words) if (known[w] if w in known else match(w))}
     if not bad:
         return [], len(words)
     out = []
@@ -183,6 +195,26 @@ def _terms_of(text: str | None) -> set[str]:
     return {"=" + w for w in words if len(w) <= 40} | {str(n) + w[:n] for w in words for n in STEMS if len(w) > n}
 
 
+def _families(counts: dict[str, int]) -> set[str]:
+    """Terms and stems that stand for others too.
+
+    counts: toxic rows of each ("=term", or length and stem).  A stem that has hardly
+    more rows than one longer form of it is only that form cut short, and the form stays;
+    of the others the shortest stays, and stands for all forms that begin with it.
+    """
+    stems = {k[1:]: k for k in counts if k[0] != "="}
+
+    def shorter(k: str) -> list[str]:
+        return [stems[k[1 : 1 + n]] for n in STEMS if k[1 : 1 + n] in stems and stems[k[1 : 1 + n]] != k]
+
+    under: dict[str, int] = {}
+    for k in counts:
+        for s in shorter(k):
+            under[s] = max(under.get(s, 0), counts[k])
+    whole = {s for s in stems.values() if counts[s] > 1.25 * under.get(s, 0)}
+    return {k for k in counts if (k in whole or k[0] == "=") and not any(s in whole for s in shorter(k))}
+
+
 def learn(rows: DataFrame, scratch: Scratch) -> ToxicityModel | None:
     """Learn from rows (text, toxic 0/1); None if one of the labels is missing.
 
@@ -231,9 +263,11 @@ def learn(rows: DataFrame, scratch: Scratch) -> ToxicityModel | None:
             .where((F.col("g") >= 2 * math.log(10 * tried)) & ((F.col("p") + 0.5) * (neg + 1) > PURITY * (F.col("n") + 0.5) * (in_left + 1)))
             .orderBy(F.desc("g"), "term").limit(MAX_TERMS - len(terms) - len(stems)).collect()
         )
+        strong = [r for r in strong if r["g"] >= TIER * strong[0]["g"]]
         new = {r["term"]: r["g"] for r in strong}
-        stems |= {t[1:]: g for t, g in new.items() if t[0] != "="}
-        terms |= {t[1:]: g for t, g in new.items() if t[0] == "="}
+        kept = _families({r["term"]: r["p"] for r in strong})
+        stems |= {t[1:]: g for t, g in new.items() if t[0] != "=" and t in kept}
+        terms |= {t[1:]: g for t, g in new.items() if t[0] == "=" and t in kept}
         model = ToxicityModel(Lexicon(terms, stems))
         if not new:
             break
