@@ -194,3 +194,21 @@ def ranked(df: DataFrame, groups: list[str], order: list[str], name: str, scratc
     for c in on[1:]:
         cond = cond & c
     return rows.join(starts, cond).select(*df.columns, (F.col("_row") - F.col("_first") + F.col("_before")).cast("long").alias(name))
+
+
+def heaviest(df: DataFrame, weight: str, limit: int) -> DataFrame:
+    """The rows of df with the largest whole weights, `limit` at most, without any order.
+
+    A histogram of some hundred bins tells from which weight on there are no more
+    than `limit` rows, so no task hands rows to the driver that aren't wanted.
+    """
+    exponent = F.floor(F.log2(F.greatest(F.col(weight), F.lit(1))))
+    low = F.col(weight) / F.pow(F.lit(2.0), exponent)
+    bins = df.select((exponent * 16 + F.floor((low - 1) * 16)).cast("int").alias("bin"), F.col(weight).alias("w")).groupBy("bin").agg(F.count("*").alias("n"), F.min("w").alias("least")).collect()
+    total, least = 0, None
+    for b in sorted(bins, key=lambda r: -r["bin"]):
+        total += b["n"]
+        if total > limit:
+            break
+        least = b["least"]
+    return df.where(F.col(weight) >= least) if least is not None else df.limit(0)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, lookup, small_batches
+from .common import Scratch, components, heaviest, lookup, small_batches
 
 #: share of the hash range in which tokens are counted; prefixes are taken from there first
 COUNTED = 0.25
@@ -159,7 +159,7 @@ def _frequent(docs: DataFrame, size: int, scratch: Scratch) -> tuple[np.ndarray,
 
     tallies = docs.select("text").mapInArrow(tally, "part int, tokens binary, counts binary").repartition(parts, "part")
     counted = scratch.keep(tallies.mapInArrow(total, "token long, n long"))
-    got = counted.orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toArrow()
+    got = heaviest(counted, "n", MAX_FREQUENT).toArrow()
     scratch.drop(counted)
     token = np.asarray(got["token"]).astype(np.int64).view(np.uint64)
     n = np.asarray(got["n"]).astype(np.int64)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches
+from .common import Scratch, heaviest, small_batches
 from .lattice import Pieces, expected_counts, load_pieces, log_likelihood
 
 #: words that go to the workers as a table: the most frequent, and none longer than HOT_BYTES
@@ -224,7 +224,8 @@ def _score(docs: DataFrame, counts: DataFrame, names: list[str], model: Model, p
 
     rated = scratch.keep(counts.mapInArrow(lattices, "word binary, known long, base double, " + ", ".join(f"{s} double" for s in sums)))
     every = sum((F.col(n) for n in names), F.lit(0))
-    top = counts.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc(every), "word").limit(HOT_WORDS).collect()
+    short = counts.where((F.octet_length("word") <= HOT_BYTES) & (every > 0)).withColumn("n", every)
+    top = heaviest(short, "n", HOT_WORDS).collect()
     words = [bytes(r["word"]) for r in top]
     hot = (words, np.array([[r[n] for n in names] for r in top], dtype=float).reshape(len(top), n_classes))
     hot_shared = spark.sparkContext.broadcast(hot)

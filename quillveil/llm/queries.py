@@ -156,3 +156,14 @@ def op4_token_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import similar_sets
 
     return similar_sets(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op4"), size=4, percent=85)
+
+
+@query
+def op8_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op8"), min_words=50)
+    return out.select(
+        "doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), "removed_lines",
+        F.char_length("kept_text").cast("long").alias("kept_chars"), F.sha2("kept_text", 256).alias("kept_sha256"),
+    )

@@ -223,7 +223,10 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = 0.9
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     dim, n_rows = by_dim
     limit = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dim)))
-    picked = good.where(F.size("v") == dim).select("v", F.xxhash64("rid", F.lit(seed)).alias("h")).orderBy("h").limit(limit).select("v").toArrow()
+    # about limit rows by a hash of the row, at most limit: no task hands over more than its share
+    share = min(1.0, 0.97 * limit / n_rows)
+    drawn = good.where(F.size("v") == dim) if n_rows <= limit else good.where((F.size("v") == dim) & (F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))))
+    picked = drawn.select("v").limit(limit).toArrow()
     sample = unit(np.array(picked.column(0).combine_chunks().flatten()).reshape(-1, dim))
     forest = grow(sample, n_rows, threshold, seed)
     shared = spark.sparkContext.broadcast(forest)

@@ -361,3 +361,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out: Column, scratch:
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic"))
     known = scratch.keep(known.orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_ROWS))
     return scratch.keep(docs.join(F.broadcast(known), docs["doc_id"] == known["_id"]).select("text", F.col("_toxic").cast("int").alias("toxic")))
+
+
+def reject(docs: DataFrame, model: ToxicityModel | None, limit: float, text_col: str = "text") -> DataFrame:
+    """Rows of docs, with all their columns, that score below the limit; all rows without a model."""
+    if model is None:
+        return docs
+    small_batches(docs.sparkSession)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([m.score(t) < limit for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
