@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -70,6 +71,12 @@ class Scratch:
             if at:
                 path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.release()
+
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, spread: Column, hot_keys: int = HOT_KEYS) -> DataFrame:

@@ -26,6 +26,8 @@ FREQUENT, MAX_FREQUENT = 24, 1_000_000
 PAIRS_FROM, GROUP_TOKENS = 32, 16
 #: members up to which an entry's nodes are paired, and rows of a larger family compared in one task
 FEW, BLOCK = 24, 2048
+#: share of the hash range whose tokens settle most pairs
+SKETCHED = 0.15
 #: bits of the filter that tells which texts are read again
 FILTER_BITS = 1 << 24
 
@@ -224,8 +226,8 @@ def similar_sets(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int
                 ["is_entry", "doc_id", "n", "node", "entry"],
             )
 
-    both = scratch.keep(docs.mapInArrow(index, "is_entry boolean, doc_id long, n long, node long, entry long"))
-    rows = both.where("not is_entry").select("doc_id", "n", "node")
+    both_entries = scratch.keep(docs.mapInArrow(index, "is_entry boolean, doc_id long, n long, node long, entry long"))
+    rows = scratch.keep(both_entries.where("not is_entry").select("doc_id", "n", "node"))
     nodes = scratch.keep(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")))
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +251,7 @@ def similar_sets(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int
         for at in range(0, len(entry), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in (entry, node, count, leader)], ["entry", "node", "members", "leader"])
 
-    members = both.where("is_entry").select("entry", "node").repartition(parts, "entry").mapInArrow(common, "entry long, node long, members long, leader long")
+    members = both_entries.where("is_entry").select("entry", "node").repartition(parts, "entry").mapInArrow(common, "entry long, node long, members long, leader long")
     members = scratch.keep(members.join(nodes.select("node", "rep", F.col("n").alias("size")), "node").select("entry", "rep", "size", "members", "leader"))
 
     few, many = members.where(F.col("members") <= FEW), members.where(F.col("members") > FEW)
@@ -262,14 +264,19 @@ def similar_sets(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int
 
     pairs = few.select("entry", "rep", "size").repartition(parts, "entry").mapInArrow(pairs_of_few, "a long, b long").union(stars)
     pairs = scratch.keep(pairs.distinct())
-    sets = scratch.keep(_sets(docs, members.select("rep").distinct(), size, scratch))
-    links = scratch.keep(_verified(pairs, sets, percent))
-    scratch.drop(members, pairs)
+    scratch.drop(both_entries)
+    # tokens of the low end of the hash range settle most pairs; whole sets are read for the others alone
+    ends = _sets(docs, members.select("rep").distinct(), size, SKETCHED, scratch)
+    pairs_left = scratch.keep(_verified(pairs, ends, percent))
+    scratch.drop(pairs)
+    sets = _sets(docs, pairs_left.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), size, 1.0, scratch)
+    links = scratch.keep(_verified(pairs_left, sets, percent))
+    scratch.drop(pairs_left, sets)
     comps = components(links, scratch)
-    more = _across(families, comps, sets, percent, scratch)
+    more = _across(families, comps, docs, ends, size, percent, scratch)
     if more is not None:
         comps = components(links.union(more), scratch)
-    scratch.drop(sets, families)
+    scratch.drop(ends, families, members)
     heads = nodes.select("node", "rep", "copies").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("node", "copies", F.coalesce("component", "rep").alias("component_id"))
     out = lookup(rows, heads, "node", "copies", F.coalesce("doc_id", "n"))
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
@@ -303,7 +310,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(p[at : at + (1 << 16), 0]), pa.array(p[at : at + (1 << 16), 1])], ["a", "b"])
 
 
-def _across(families: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
+def _across(families: DataFrame, comps: DataFrame, docs: DataFrame, ends: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame | None:
     """Links (a, b) between different components in entries of many members, or None.
 
     The entries with the same smallest node make a family.  Nodes outside the component of a family's
@@ -321,19 +328,30 @@ def _across(families: DataFrame, comps: DataFrame, sets: DataFrame, percent: int
     spread = F.xxhash64("rep")
     base = sized.select("leader", "rep", "component", F.pmod(spread, "blocks").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("guests") - 1)).alias("guest"), F.lit(False).alias("odd"))
     guests = sized.where("odd").select("leader", "rep", "component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("at"), F.pmod(spread, "guests").alias("guest"), F.lit(True).alias("odd"))
-    rows = base.union(guests).join(sets, "rep")
-
-    def compare(table: pa.Table) -> pa.Table:
-        rep, comp, odd = (table.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "component", "odd"))
-        tokens = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("tokens").combine_chunks()]
-        a, b = np.flatnonzero(odd), np.flatnonzero(~odd)
-        n = np.array([len(t) for t in tokens])
-        linked = overlaps([tokens[k] for k in a], [tokens[k] for k in b])
-        union = n[a][:, None] + n[b][None, :] - linked
-        x, y = np.nonzero((100 * linked >= percent * union) & (comp[a][:, None] != comp[b][None, :]))
+    places = scratch.keep(base.union(guests))
+    kind = "leader long, at long, guest long, rep long, component long, odd boolean"
+
+    def settle(key: tuple, table: pa.Table) -> pa.Table:
+        """Rows of a block that still may have a link."""
+        hit, odd = _block(table, percent)
+        keep = np.zeros(table.num_rows, bool)
+        keep[np.flatnonzero(odd)[hit.any(axis=1)]] = True
+        keep[np.flatnonzero(~odd)[hit.any(axis=0)]] = True
+        return table.select(["leader", "at", "guest", "rep", "component", "odd"]).filter(pa.array(keep))
+
+    left = scratch.keep(places.join(ends, "rep").groupBy("leader", "at", "guest").applyInArrow(settle, kind))
+    scratch.drop(places)
+    if not left.limit(1).count():
+        return None
+    sets = _sets(docs, left.select("rep").distinct(), size, 1.0, scratch)
+
+    def link(key: tuple, table: pa.Table) -> pa.Table:
+        hit, odd = _block(table, percent)
+        rep = table.column("rep").to_numpy()
+        x, y = np.nonzero(hit)
         values, place = np.unique(rep, return_inverse=True)
         root = values.copy()
-        p, q = place[a[x]], place[b[y]]
+        p, q = place[np.flatnonzero(odd)[x]], place[np.flatnonzero(~odd)[y]]
         while True:
             before = root.copy()
             np.minimum.at(root, p, root[q])
@@ -343,7 +361,20 @@ def _across(families: DataFrame, comps: DataFrame, sets: DataFrame, percent: int
         some = np.flatnonzero(root != values)
         return pa.table({"a": values[some], "b": root[some]})
 
-    return scratch.keep(rows.groupBy("leader", "at", "guest").applyInArrow(compare, "a long, b long").distinct())
+    found = scratch.keep(left.join(sets, "rep").groupBy("leader", "at", "guest").applyInArrow(link, "a long, b long").distinct())
+    scratch.drop(left, sets)
+    return found
+
+
+def _block(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether an odd row (first axis) may link with another row of another component (second); and which rows are odd."""
+    n, comp, odd = (table.column(c).to_numpy(zero_copy_only=False) for c in ("n", "component", "odd"))
+    tokens = [np.frombuffer(x.as_buffer(), np.uint64) for c in table.column("tokens").chunks for x in c]
+    have = np.array([len(t) for t in tokens])
+    a, b = np.flatnonzero(odd), np.flatnonzero(~odd)
+    most = overlaps([tokens[k] for k in a], [tokens[k] for k in b]) + np.minimum((n - have)[a][:, None], (n - have)[b][None, :])
+    total = n[a][:, None] + n[b][None, :]
+    return (100 * most >= percent * (total - most)) & (comp[a][:, None] != comp[b][None, :]), odd
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -372,8 +403,8 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, size: int, scratch: Scratch) -> DataFrame:
-    """(rep, tokens) of the wanted documents.
+def _sets(docs: DataFrame, wanted: DataFrame, size: int, share: float, scratch: Scratch) -> DataFrame:
+    """(rep, n, tokens) of the wanted documents: set size, and the tokens in the lowest share of the hash range.
 
     A filter of FILTER_BITS bits keeps the others' texts out of the exchange; what it lets
     through by chance is sorted out by the join.
@@ -396,25 +427,25 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, scratch: Scratch) -> Da
             ids = batch.column(0).cast(pa.int64())
             hit = marked[_mix(ids.fill_null(0).to_numpy().view(np.uint64)) % np.uint64(FILTER_BITS)]
             some = batch.filter(pa.array(hit & ids.is_valid().to_numpy(zero_copy_only=False)))
-            yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), pa.array([shingles(t, size).tobytes() for t in some.column(1).to_pylist()], pa.binary())], ["rep", "tokens"])
+            found = [shingles(t, size) for t in some.column(1).to_pylist()]
+            parts = [s.tobytes() if share >= 1 else s[: np.searchsorted(s, np.uint64(int(share * 2**64)))].tobytes() for s in found]
+            yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(parts, pa.binary())], ["rep", "n", "tokens"])
 
-    # a repeated id may stand for several texts; the set with the most tokens speaks for it
-    return docs.mapInArrow(read, "rep long, tokens binary").join(wanted, "rep", "left_semi")
+    return scratch.keep(docs.mapInArrow(read, "rep long, n long, tokens binary").join(wanted, "rep", "left_semi"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that link, by their whole sets."""
+    """Pairs (a, b) that link by their whole sets; by parts of them, pairs that still may."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
+            for x, y, m, n in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
                 s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            some = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-            yield some
-
-    left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a")
-    full = left.join(sets.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+                most = len(np.intersect1d(s, t, assume_unique=True)) + min(m - len(s), n - len(t))
+                keep.append(100 * most >= percent * (m + n - most))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("x"), F.col("n").alias("m")), "a")
+    full = left.join(sets.select(F.col("rep").alias("b"), F.col("tokens").alias("y"), "n"), "b")
+    return full.select("a", "b", "x", "y", "m", "n").mapInArrow(check, "a long, b long")
