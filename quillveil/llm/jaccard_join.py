@@ -21,7 +21,7 @@ from .common import Scratch, components, heaviest, lookup, small_batches
 #: share of the hash range in which tokens are counted; prefixes are taken from there first
 COUNTED = 0.25
 #: sets that have a frequent token at least, and how many such tokens go to the workers at most
-FREQUENT, MAX_FREQUENT = 24, 1_000_000
+FREQUENT, MAX_FREQUENT = 4, 1_000_000
 #: sets below this size index single tokens only; above, a group for each GROUP_TOKENS tokens
 PAIRS_FROM, GROUP_TOKENS = 32, 16
 #: members up to which an entry's nodes are paired, and rows of a larger family compared in one task
