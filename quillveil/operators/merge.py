@@ -65,11 +65,6 @@ def greedy(spans: Column) -> Column:
     return F.aggregate(in_order(spans), _empty(), lambda acc, s: F.when((F.size(acc) == 0) | (s["start"] >= _last(acc)["end"]), F.concat(acc, F.array(s))).otherwise(acc))
 
 
-# How specific a category is in the priority merge; all others have 0.
-GENERIC = ["generic_id", "username", "date", "name"]
-REGULATED = ["tfn", "medicare", "abn", "acn", "bsb_account", "centrelink_crn", "passport", "driver_licence"]
-
-
 def overlapping(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 

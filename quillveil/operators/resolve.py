@@ -56,6 +56,52 @@ def union(spans: list[dict]) -> list[dict]:
     return out
 
 
+# How specific categories are where spans share a range (all others 0), and which are regulated or generic.
+SPECIFIC = {
+    "username": 100, "tfn": 100, "abn": 100, "acn": 100, "medicare": 100, "healthcare_identifier": 100, "medical_record_number": 100,
+    "passport": 90, "driver_licence": 90, "centrelink_crn": 90, "bsb_account": 80, "address": 60, "organisation": 55, "location": 55, "name": 50, "generic_id": 10,
+}
+REGULATED = {"tfn", "abn", "acn", "medicare", "bsb_account", "passport", "driver_licence", "centrelink_crn", "healthcare_identifier", "medical_record_number"}
+GENERIC = {"generic_id", "name", "username"}
+
+
+def by_priority(text: str, spans: list[dict]) -> list[dict]:
+    """Disjoint spans in which regulated identifiers win over generic ones; winners keep their own bounds.
+
+    Repeats fold into one span: any need of review, the first definite verdict, the lower
+    confidence.  On one range the passed check, then the regulated, then the more specific category wins.
+    Otherwise a passed regulated identifier beats a generic span that has nothing but
+    punctuation beyond it, and else the longer span wins.
+    """
+    folded: dict[tuple, dict] = {}
+    for s in spans:
+        old = folded.setdefault((s["start"], s["end"], s["category"]), dict(s))
+        old["needs_review"] = old["needs_review"] or s["needs_review"]
+        if old["validator_passed"] is None and s["validator_passed"] is not None:
+            old["validator_passed"], old["confidence"] = s["validator_passed"], min(old["confidence"], s["confidence"])
+
+    def rank(s: dict) -> tuple:
+        return s["validator_passed"] is True, s["category"] in REGULATED, SPECIFIC.get(s["category"], 0)
+
+    def beats(a: dict, b: dict) -> bool:
+        beyond = text[b["start"] : max(b["start"], a["start"])] + text[min(b["end"], a["end"]) : b["end"]]
+        return a["category"] in REGULATED and a["validator_passed"] is True and b["category"] in GENERIC and not any(c.isalnum() for c in beyond)
+
+    out: list[dict] = []
+    for s in sorted(folded.values(), key=lambda x: (x["start"], x["start"] - x["end"])):
+        last = out[-1] if out else None
+        if last is None or s["start"] >= last["end"]:
+            out.append(s)
+        elif (s["start"], s["end"]) == (last["start"], last["end"]):
+            out[-1] = s if rank(s) > rank(last) else last
+        else:
+            review = s["needs_review"] or last["needs_review"]
+            mine, theirs = s["end"] - s["start"], last["end"] - last["start"]
+            takes = beats(s, last) or not beats(last, s) and (mine > theirs or mine == theirs and bool(s["validator_passed"]) and not last["validator_passed"])
+            out[-1] = (s if takes else last) | {"needs_review": review}
+    return out
+
+
 def placeholders(spans: list[dict], style: str) -> None:
     numbers: dict[tuple[str, str], int] = {}
     counts: dict[str, int] = {}
@@ -80,14 +126,15 @@ def splice(text: str, spans: list[dict]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def resolver(style: str, with_propagation: bool, keep_values: bool):
+def resolver(style: str, with_propagation: bool, keep_values: bool, priority: bool = False):
     """A function for mapInArrow over (id, text, hits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, review, every = [], [], [], []
             for text, hits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                spans = union(propagate(text, hits) if with_propagation else hits)
+                found = propagate(text, hits) if with_propagation else hits
+                spans = by_priority(text, found) if priority else union(found)
                 placeholders(spans, style)
                 texts.append(splice(text, spans))
                 counts.append(len(spans))

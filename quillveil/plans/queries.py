@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import checks
+from ..functions import resolve_category as R
 from ..functions import spans as S
 from ..operators import evaluate, merge
 from . import redaction
@@ -207,3 +208,35 @@ def manifest_rows(spark, sf_dir):
 @query()
 def gate_summary(spark, sf_dir):
     return redaction.gate(redaction.manifest(redaction.redact_table(table(spark, sf_dir, "documents")), "kg_rag_default"))
+
+
+_PLACES = "(SELECT c_custkey AS k, CASE c_custkey % 6 WHEN 0 THEN c_name || ' Collins Street' WHEN 1 THEN 'GPO Box ' || c_custkey WHEN 2 THEN 'Perth WA' WHEN 3 THEN 'Suburb 3000' WHEN 4 THEN 'Greater Sydney' ELSE '' END AS v FROM customer)"
+
+
+@query(f"SELECT k, CASE WHEN k % 6 IN (0, 1, 3) THEN 'address' ELSE 'location' END AS kind FROM {_PLACES}")
+def address_vs_location(spark, sf_dir):
+    k = F.col("c_custkey")
+    v = F.when(k % 6 == 0, F.concat("c_name", F.lit(" Collins Street"))).when(k % 6 == 1, F.concat(F.lit("GPO Box "), k.cast("string"))).when(k % 6 == 2, "Perth WA").when(k % 6 == 3, "Suburb 3000").when(k % 6 == 4, "Greater Sydney").otherwise("")
+    return table(spark, sf_dir, "customer").select(k.alias("k"), R.address_or_location(v).alias("kind"))
+
+
+@query(f"""SELECT k, CASE k % 4 WHEN 0 THEN 'tfn' WHEN 1 THEN 'abn' WHEN 2 THEN CASE WHEN {_sum('nine', checks.TFN_9)} % 11 = 0 THEN 'tfn' WHEN (10 - {_sum('nine', checks.ACN)} % 10) % 10 = substr(nine, 9, 1)::INT THEN 'acn' ELSE 'driver_licence' END
+ELSE 'medical_record_number' END AS category FROM {_IDS}""")
+def resolve_category(spark, sf_dir):
+    i = _ids(spark, sf_dir)
+    lead = F.when(F.col("k") % 4 == 0, "ACN x; TFN: ").when(F.col("k") % 4 == 1, "x ABN ").when(F.col("k") % 4 == 2, "TFN given, value ").otherwise("")
+    value = F.when(F.col("k") % 4 == 3, F.concat(F.lit("MRN-"), F.col("nine"))).otherwise(F.col("nine"))
+    text = F.concat(lead, value)
+    return i.select("k", R.resolve(value, R.label_before(text, F.char_length(lead), value), F.lit("account_number")).alias("category"))
+
+
+@query("""SELECT doc_id, n >= 200 AS invoke, CASE WHEN n >= 200 THEN 'tokens=' || n || '>=200' ELSE 'skip(tokens=' || n || ',spans=1)' END AS reason
+FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '')) AS n FROM documents)""")
+def model_gate(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", R.worth_a_model(F.col("text"), F.array(F.lit(0.5))).alias("g")).select("doc_id", "g.*")
+
+
+@query()
+def redact_priority(spark, sf_dir):
+    return redaction.redact_table(table(spark, sf_dir, "documents"), priority=True).select("document_id", "redacted_text", "pii_count", "needs_review")

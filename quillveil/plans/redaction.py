@@ -28,20 +28,21 @@ def policy(name: str, **given) -> dict:
 
 def redact_table(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", style: str = "numbered", categories: list[str] | None = None,
-    strict: bool = False, propagate: bool = True, keep_values: bool = False,
+    strict: bool = False, propagate: bool = True, keep_values: bool = False, priority: bool = False,
 ) -> DataFrame:
     """document_id, redacted_text, pii_count, needs_review, spans of every document.
 
     Patterns and checks run in the JVM over the scan; the hits of a document are then
     propagated, merged, numbered and spliced in one linear pass in Arrow
     batches.  Nothing is exchanged.  Values leave the spans unless keep_values is set (for the audit).
+    priority: merge by category priority instead of by union.
     """
     ship(docs.sparkSession)
     text = S.clean(F.col(text_col))
     base = docs.select(F.col(id_col).alias("document_id"), text.alias("_t"))
     found = base.select("document_id", "_t", S.validated(S.detect(F.col("_t"), categories, strict)).alias("_hits"))
     id_type = found.schema["document_id"].dataType.simpleString()
-    return found.mapInArrow(resolver(style, propagate, keep_values), f"document_id {id_type}, {OUT}")
+    return found.mapInArrow(resolver(style, propagate, keep_values, priority), f"document_id {id_type}, {OUT}")
 
 
 def manifest(results: DataFrame, policy_name: str, model: str = "regex") -> DataFrame:

@@ -137,3 +137,30 @@ def test_stream_equals_batch(spark, tmp_path):
     redact_stream(read_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     want = redaction.redact_table(docs).select("document_id", "redacted_text")
     assert spark.read.parquet(str(tmp_path / "out")).select("document_id", "redacted_text").exceptAll(want).count() == 0
+
+
+def _span(c, a, b, ok=None, review=False):
+    return dict(category=c, start=a, end=b, value=None, confidence=1.0, validator_passed=ok, needs_review=review, seq=0)
+
+
+def test_priority_merge():
+    text = "062-000. 999999999 PA1234567"
+    got = resolve.by_priority(text, [_span("generic_id", 0, 8), _span("bsb_account", 0, 7, True)])
+    assert [(s["category"], s["end"]) for s in got] == [("bsb_account", 7)]
+    got = resolve.by_priority(text, [_span("generic_id", 9, 18), _span("bsb_account", 9, 15, True)])
+    assert [(s["category"], s["end"]) for s in got] == [("generic_id", 18)]
+    got = resolve.by_priority(text, [_span("tfn", 9, 18, False, True), _span("acn", 9, 18, True)])
+    assert [(s["category"], s["needs_review"]) for s in got] == [("acn", False)]
+    got = resolve.by_priority(text, [_span("username", 19, 28), _span("passport", 19, 28), _span("passport", 19, 28, None, True)])
+    assert [(s["category"], s["needs_review"]) for s in got] == [("passport", True)]
+
+
+def test_gate_and_labels(spark):
+    from quillveil.functions import resolve_category as R
+
+    one = spark.range(1)
+    got = one.select(R.worth_a_model(F.lit("the patient slept"), F.lit(None).cast("array<double>")).alias("a"), R.worth_a_model(F.lit("x"), F.array(F.lit(0.1), F.lit(0.2))).alias("b"), R.worth_a_model(F.lit(""), F.array(F.lit(0.1))).alias("c"), R.worth_a_model(F.lit("x"), F.array(F.lit(0.1)), "never").alias("d")).first()
+    assert [got[k]["reason"] for k in "abcd"] == ["narrative_cue", "openai_low_conf=2<0.70", "skip(tokens=0,spans=1)", "mode=never"]
+    rows = [("MRN- 1234567", 5, "1234567", "medical_record_number"), ("TFN: 123456789", 5, "123456789", "tfn"), ("TFN, 123456789", 5, "123456789", None), ("Passport no PA1234567", 12, "PA1234567", "passport")]
+    df = spark.createDataFrame(rows, "t string, s int, v string, want string")
+    assert [r[0] for r in df.select(R.label_before(F.col("t"), F.col("s"), F.col("v"))).collect()] == [r[3] for r in rows]
