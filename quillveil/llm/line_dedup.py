@@ -1,4 +1,4 @@
-"""Line dedup by winnowing: fingerprints of line stretches, matched and extended to whole runs."""
+"""Line dedup by winnowing: fingerprints of line stretches, matched, and the stretches around them joined to whole runs."""
 
 from __future__ import annotations
 
@@ -17,54 +17,58 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return full.select("doc_id", "line", "words", F.xxhash64("hash", "chars").alias("hash"), F.row_number().over(w).alias("ord"), F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
 
 
-def fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, ord, print): the window minima of each document.
+def stretches(lines: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, first, last, hash, at, print): the shortest stretches of min_words words or more, and their fingerprints.
 
-    The stretch of a line is it and the next ones up to half of min_words words; its hash is the
-    stretch's.  A window is all stretches that begin within half of min_words words, so
-    every run of min_words words or more holds a whole window, whose
-    minimum is chosen in each copy of the run.
+    From each line the shortest stretch onwards, and to each line the shortest one back to
+    where it begins, if it is another.  A run of min_words words or more is the
+    union of those within it: a line that has min_words words from it to the run's end
+    begins one, and the one back from the run's end holds all other lines.
+
+    A stretch's fingerprint is the least of a window at its beginning: all half stretches (a line and the next ones up to half
+    of min_words words) that begin within half of min_words words.  The window ends within the stretch,
+    so equal stretches have equal fingerprints, and many stretches share one place of it (`at`).
     """
     half = (min_words + 1) // 2
     place = Window.partitionBy("doc_id").orderBy("_from")
     begun = lines.withColumn("_from", F.col("upto") - F.col("words"))
-    stretch = place.rangeBetween(0, half - 1)
-    own = begun.withColumn("_hashes", F.collect_list("hash").over(stretch)).withColumn("_end", F.max("upto").over(stretch))
+    near, whole = place.rangeBetween(0, half - 1), place.rangeBetween(0, min_words - 1)
+    own = begun.withColumn("_hashes", F.collect_list("hash").over(near)).withColumn("_end", F.max("upto").over(near))
     own = own.withColumn("_print", F.when(F.col("_end") - F.col("_from") >= half, F.xxhash64("_hashes")))
     window = place.rangeBetween(0, min_words - half)
-    least = F.min(F.when(F.col("_print").isNotNull(), F.struct("_print", "ord"))).over(window)
-    all_words = F.max("upto").over(Window.partitionBy("doc_id"))
-    chosen = own.withColumn("_least", least).withColumn("_all", all_words).where((F.col("_least").isNotNull()) & (F.col("_all") - F.col("_from") >= min_words))
-    return chosen.select("doc_id", F.col("_least.ord").alias("ord"), F.col("_least._print").alias("print")).distinct()
+    own = own.withColumn("_least", F.min(F.when(F.col("_print").isNotNull(), F.struct("_print", "ord"))).over(window))
+    own = own.withColumn("_onwards", F.collect_list("hash").over(whole)).withColumn("_last", F.max("ord").over(whole)).withColumn("_far", F.max("upto").over(whole))
+    back = Window.partitionBy("doc_id").orderBy("upto").rangeBetween(1 - min_words, 0)
+    start = F.first(F.struct("ord", "_last", "_least")).over(back)
+    own = own.withColumn("_back", F.collect_list("hash").over(back)).withColumn("_start", start)
+    onwards = F.when(F.col("_far") - F.col("_from") >= min_words, F.struct(F.col("ord").alias("first"), F.col("_last").alias("last"), F.xxhash64("_onwards").alias("hash"), F.col("_least").alias("p")))
+    other = (F.col("upto") >= min_words) & (F.col("_start._last") != F.col("ord"))
+    backwards = F.when(other, F.struct(F.col("_start.ord").alias("first"), F.col("ord").alias("last"), F.xxhash64("_back").alias("hash"), F.col("_start._least").alias("p")))
+    every = own.select("doc_id", F.explode(F.array_compact(F.array(onwards, backwards))).alias("s"))
+    return every.select("doc_id", "s.first", "s.last", "s.hash", F.col("s.p.ord").alias("at"), F.col("s.p._print").alias("print"))
 
 
 def repeated_lines(lines: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
     """(doc_id, line) of the lines in later copies of runs of min_words words or more.
 
-    Each fingerprint meets its first place (by doc_id, then line).  From there the match is extended both
-    ways as long as the lines are equal; lines without words don't end a run.
+    Fingerprints that stand at one place only are settled first.  Of the stretches whose fingerprint repeats, those
+    that stand at an earlier place too (by doc_id, then line), whichever, are a later copy, and their
+    union is the whole runs; lines without words don't end a run.
     """
-    prints = scratch.keep(fingerprints(lines, min_words))
-    first = prints.groupBy("print").agg(F.min(F.struct("doc_id", "ord")).alias("first"), F.count("*").alias("uses")).where("uses > 1")
-    first = scratch.keep(first.select("print", F.col("first.doc_id").alias("a"), F.col("first.ord").alias("at"), "uses"))
-    met = lookup(prints, first, "print", "uses", F.struct("doc_id", "ord"))
-    later = met.where(F.col("a").isNotNull() & ((F.col("doc_id") > F.col("a")) | (F.col("ord") > F.col("at"))))
-    # a document, an earlier one, and by how many lines they are shifted
-    shifts = scratch.keep(later.groupBy("doc_id", "a", (F.col("ord") - F.col("at")).alias("shift")).agg(F.collect_set("ord").alias("seeds")))
-    all_lines = scratch.keep(lines)
-    mine = shifts.select("doc_id", "a", "shift").join(all_lines, "doc_id")
-    pairs = mine.select("doc_id", "a", "shift", "ord", "line", "words", "hash", F.struct(F.col("a").alias("d"), (F.col("ord") - F.col("shift")).alias("o")).alias("source"))
-    pairs = scratch.keep(pairs)
-    asked = pairs.groupBy("source").agg(F.count("*").alias("asked"))
-    theirs = all_lines.select(F.struct(F.col("doc_id").alias("d"), F.col("ord").alias("o")).alias("source"), F.col("hash").alias("their_hash"))
-    answers = scratch.keep(asked.join(theirs, "source"))
-    equal = lookup(pairs, answers, "source", "asked", F.struct("doc_id", "ord")).where(F.col("hash") == F.col("their_hash"))
-    w = Window.partitionBy("doc_id", "a", "shift").orderBy("ord")
-    runs = equal.withColumn("run", F.col("ord") - F.row_number().over(w))
-    seeds = shifts.select("doc_id", "a", "shift", F.explode("seeds").alias("ord"), F.lit(True).alias("seed"))
-    marked = runs.join(seeds, ["doc_id", "a", "shift", "ord"], "left")
-    whole = marked.groupBy("doc_id", "a", "shift", "run").agg(F.sum("words").alias("n"), F.max("seed").alias("seed"), F.collect_list("line").alias("lines")).where(F.col("seed") & (F.col("n") >= min_words))
-    return whole.select("doc_id", F.explode("lines").alias("line")).distinct()
+    every = scratch.keep(stretches(lines, min_words))
+    places = every.groupBy("print").agg(*[f(c).alias(f"{n}_{c}") for c in ("doc_id", "at") for n, f in (("min", F.min), ("max", F.max))], F.count("*").alias("uses"))
+    shared = places.where("min_doc_id < max_doc_id or min_at < max_at").select("print", "uses", F.lit(True).alias("met"))
+    spread = F.struct("doc_id", "first")
+    seeded = scratch.keep(lookup(every, scratch.keep(shared), "print", "uses", spread).where("met").select("doc_id", "first", "last", "hash"))
+    earliest = seeded.groupBy("hash").agg(F.min(F.struct("doc_id", "first")).alias("p"), F.count("*").alias("uses")).where("uses > 1")
+    earliest = scratch.keep(earliest.select("hash", F.col("p.doc_id").alias("a"), F.col("p.first").alias("b"), "uses"))
+    met = lookup(seeded, earliest, "hash", "uses", spread)
+    later = met.where(F.col("a").isNotNull() & ((F.col("doc_id") > F.col("a")) | (F.col("first") > F.col("b"))))
+    # a line is in a stretch if one that begins at it or before it ends at it or after it
+    begins = later.groupBy("doc_id", F.col("first").alias("ord")).agg(F.max("last").alias("last")).select("doc_id", "ord", F.lit(None).cast("int").alias("line"), "last")
+    both = lines.select("doc_id", "ord", "line", F.lit(None).cast("int").alias("last")).union(begins)
+    reach = F.max("last").over(Window.partitionBy("doc_id").orderBy("ord").rangeBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("reach", reach).where(F.col("line").isNotNull() & (F.col("reach") >= F.col("ord"))).select("doc_id", "line")
 
 
 def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -78,7 +82,7 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = 50, id_col:
     to be unique (rows of one id count as one document); rows of a null id stay as
     they are; an empty table gives no rows; other columns aren't read.
     DataFrame operations only.  A line that a third of all documents share is one
-    row in the table of first places and reaches the documents through `lookup`.
+    row in the tables of fingerprints and of first places and reaches the documents through `lookup`.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     lines = scratch.keep(line_table(docs.where("doc_id is not null")))

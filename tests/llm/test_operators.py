@@ -243,6 +243,28 @@ def test_line_dedup(spark, scratch):
     assert line_dedup.dedup_lines(docs_of(spark, []), scratch, 50).count() == 0
 
 
+def test_line_dedup_meets_every_earlier_place(spark, scratch):
+    rng = random.Random(70)
+    texts = {}
+    for g in range(40):  # the run's first 40 words stand alone in an earlier document
+        run = [words(rng, 10, 100_000) for _ in range(6)]
+        texts |= {3 * g: [*run[:4], f"a{g}"], 3 * g + 1: [f"b{g}", *run], 3 * g + 2: [*run, f"c{g}"]}
+    pool = [words(rng, n, 900) for n in (1, 7, 12, 30, 60)]
+    texts |= {200 + k: [rng.choice(["", *pool, f"own{k}"]) for _ in range(rng.randrange(4, 30))] for k in range(40)}
+    got = {r["doc_id"]: list(r["removed_lines"]) for r in line_dedup.dedup_lines(docs_of(spark, [(i, "\n".join(x)) for i, x in texts.items()]), scratch, 50).collect()}
+    seen, want = set(), {}
+    for i, x in texts.items():
+        lines, gone = [(k, s, len(s.split())) for k, s in enumerate(x) if s], set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(n for *_, n in lines[a:b]) >= 50:
+                    key = tuple(s for _, s, _ in lines[a:b])
+                    gone.update(k for k, *_ in lines[a:b] if key in seen)
+                    seen.add(key)
+        want[i] = sorted(gone)
+    assert all(want[3 * g + 2] == [0, 1, 2, 3, 4, 5] for g in range(40)) and got == want
+
+
 def test_resharding(spark, scratch, tmp_path):
     rng = random.Random(8)
     rows = [(k, None if k == 3 else "é" * rng.randrange(90), f"s{min(k % 7, 3)}") for k in range(101)] + [(5, "dup", "s1"), (5, "dup", "s1")]
