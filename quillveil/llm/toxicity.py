@@ -27,8 +27,6 @@ PURITY = 20
 STEMS = (4, 5, 6, 7, 8)
 #: most terms that a lexicon holds; the strongest by evidence stay, which bounds what is broadcast
 MAX_TERMS = 5000
-#: terms that misspellings are looked for: the strongest by evidence
-FUZZY_TERMS = 200
 #: labelled rows that a model is learned from, at most: those that come first by a hash of their id
 TRAIN_ROWS = 40_000
 #: words to either side of a hit that are looked at for signs of quotation
@@ -49,28 +47,35 @@ class Lexicon:
     A state of the automaton is the row of edit distances between the word and
     the path walked so far, cut off above the limit; a branch ends where no cell is within it.
     A word can only be within d edits of a term if it holds one of the term's
-    d + 1 parts, so words without any are settled before the walk.  Stems match
-    every word that begins with them.
+    d + 1 parts (the first at its beginning, the last at its end), so words without any are
+    settled before the walk.  Stems match every word that begins with them, and the forms
+    behind them (form: stem) stand in the trie beside the terms, for their misspellings.
     """
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float]):
-        self.terms, self.stems = terms, stems
-        self.trie: dict = {}
-        self.parts: dict[str, tuple[int, int]] = {}  # part: first and last place where it may stand
-        self.most = 0
-        for t in sorted(terms, key=lambda t: (-terms[t], t))[:FUZZY_TERMS]:
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], forms: dict[str, str] | None = None):
+        self.terms, self.stems, self.forms = terms, stems, forms or {}
+        self.trie: dict = {0: 0}  # under 0: most edits of the terms below
+        # part: lengths of the words that may hold it, as bits; inner parts with their place
+        self.heads: dict[str, int] = {}
+        self.tails: dict[str, int] = {}
+        self.inner: dict[tuple[str, int], int] = {}
+        for t in terms.keys() | self.forms.keys():
             if d := edits_for(t):
                 node = self.trie
+                node[0] = max(node[0], d)
                 for c in t:
-                    node = node.setdefault(c, {})
+                    node = node.setdefault(c, {0: 0})
+                    node[0] = max(node[0], d)
                 node[""] = t
-                self.most = max(self.most, d)
                 cuts = [len(t) * k // (d + 1) for k in range(d + 2)]
-                for a, b in zip(cuts, cuts[1:]):
-                    low, high = self.parts.get(t[a:b], (a - d, a + d))
-                    self.parts[t[a:b]] = (min(low, a - d), max(high, a + d))
-        self.part_lengths = sorted({len(p) for p in self.parts})
-        self.last_place = max((high for _, high in self.parts.values()), default=0)
+                lengths = sum(1 << n for n in range(len(t) - d, len(t) + d + 1))
+                self.heads[t[: cuts[1]]] = self.heads.get(t[: cuts[1]], 0) | lengths
+                self.tails[t[cuts[-2] :]] = self.tails.get(t[cuts[-2] :], 0) | lengths
+                for a, b in zip(cuts[1:-1], cuts[2:-1]):
+                    for i in range(a - d, a + d + 1):
+                        self.inner[t[a:b], i] = self.inner.get((t[a:b], i), 0) | lengths
+        self.head_lengths, self.tail_lengths = sorted({len(p) for p in self.heads}), sorted({len(p) for p in self.tails})
+        self.inner_places = sorted({(i, len(p)) for p, i in self.inner})
         self.stem_lengths = sorted({len(s) for s in stems})
         self.known: dict[str, tuple[str, int] | None] = {}
 
@@ -96,25 +101,24 @@ class Lexicon:
         return found
 
     def _may(self, word: str) -> bool:
-        parts, end = self.parts, min(len(word), self.last_place + 1)
-        for n in self.part_lengths:
-            for i in range(min(end, len(word) - n + 1)):
-                at = parts.get(word[i : i + n])
-                if at is not None and at[0] <= i <= at[1]:
-                    return True
-        return False
+        n = len(word)
+        return (
+            any(self.heads.get(word[:k], 0) >> n & 1 for k in self.head_lengths)
+            or any(self.tails.get(word[-k:], 0) >> n & 1 for k in self.tail_lengths)
+            or any(self.inner.get((word[i : i + k], i), 0) >> n & 1 for i, k in self.inner_places)
+        )
 
     def _walk(self, word: str) -> tuple[str, int] | None:
         best: tuple[int, str] | None = None
         n = len(word)
-        stack = [(self.trie, list(range(n + 1)), 0)]
+        stack = [(self.trie, list(range(n + 1)))]
         while stack:
-            node, row, depth = stack.pop()
+            node, row = stack.pop()
             term = node.get("")
             if term is not None and row[n] <= edits_for(term) and abs(len(term) - n) <= row[n] and (best is None or (row[n], term) < best):
                 best = (row[n], term)
             for c, below in node.items():
-                if c == "":
+                if c == "" or c == 0:
                     continue
                 new = [row[0] + 1]
                 low = new[0]
@@ -122,9 +126,11 @@ class Lexicon:
                     x = min(row[i] + 1, new[i - 1] + 1, row[i - 1] + (word[i - 1] != c))
                     new.append(x)
                     low = min(low, x)
-                if low <= self.most:
-                    stack.append((below, new, depth + 1))
-        return (best[1], best[0]) if best else None
+                if low <= below[0]:
+                    stack.append((below, new))
+        if best is None:
+            return None
+        return (best[1] if best[1] in self.terms else self.forms[best[1]] + "*", best[0])
 
 
 @dataclass
@@ -215,12 +221,24 @@ def _families(counts: dict[str, int]) -> set[str]:
     return {k for k in counts if (k in whole or k[0] == "=") and not any(s in whole for s in shorter(k))}
 
 
+def _forms_of(counted: DataFrame, stems: list[str]) -> dict[str, str]:
+    """Words of toxic rows that begin with one of the stems, each with the shortest such stem."""
+    if not stems:
+        return {}
+    wanted = counted.sparkSession.createDataFrame([(s,) for s in stems], "stem string")
+    word = F.expr("substring(term, 2)")
+    starts = counted.where("term like '=%'").select(word.alias("word"), F.explode(F.array_distinct(F.array(*[F.substring(word, 1, n) for n in STEMS]))).alias("stem"))
+    found = starts.join(F.broadcast(wanted), "stem").collect()
+    return {r["word"]: r["stem"] for r in sorted(found, key=lambda r: -len(r["stem"]))}
+
+
 def learn(rows: DataFrame, scratch: Scratch) -> ToxicityModel | None:
     """Learn from rows (text, toxic 0/1); None if one of the labels is missing.
 
     rows come from `training_rows`, TRAIN_ROWS at most.  Document counts of every
     word and word beginning, by label, are made over all of them; those whose
-    evidence beats chance over that many trials become terms, up to MAX_TERMS.
+    evidence beats chance over that many trials become terms, up to MAX_TERMS.  Misspellings
+    are looked for of all terms and of all words of the toxic rows that a stem stands for.
     Weights of hits, by term, distance and context, come from counts over them
     too, and so does the last fit of four numbers.
     """
@@ -255,6 +273,7 @@ def learn(rows: DataFrame, scratch: Scratch) -> ToxicityModel | None:
     counted = scratch.keep(counts_of(rows))
     stems: dict[str, float] = {}
     terms: dict[str, float] = {}
+    forms: dict[str, str] = {}
     left, in_left = counted, pos
     for _ in range(ROUNDS):
         tried = max(1, left.count())
@@ -268,7 +287,8 @@ def learn(rows: DataFrame, scratch: Scratch) -> ToxicityModel | None:
         kept = _families({r["term"]: r["p"] for r in strong})
         stems |= {t[1:]: g for t, g in new.items() if t[0] != "=" and t in kept}
         terms |= {t[1:]: g for t, g in new.items() if t[0] == "=" and t in kept}
-        model = ToxicityModel(Lexicon(terms, stems))
+        forms |= _forms_of(counted, [t[1:] for t in kept if t[0] != "="])
+        model = ToxicityModel(Lexicon(terms, stems, forms))
         if not new:
             break
 
@@ -342,7 +362,7 @@ def score_table(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc
 
     Null and empty texts score as texts without hits; with no model (a label
     was missing in training) every score is 0; repeated rows repeat; other columns
-    aren't read.  One pass, nothing is exchanged; the model is bounded by MAX_TERMS.
+    aren't read.  One pass, nothing is exchanged; the model is bounded by MAX_TERMS and the words of TRAIN_ROWS rows behind stems.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

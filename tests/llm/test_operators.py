@@ -133,6 +133,40 @@ def test_toxicity(spark, scratch):
     assert kept.columns == test.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4, 5]
 
 
+def test_misspellings_of_all_terms_and_forms(spark, scratch):
+    rng = random.Random(50)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(4, 14)))
+    terms = {word(): 1000.0 - k for k in range(600)}
+    stems = {"zzfa": 5.0}
+    forms = {"zzfa" + word(): "zzfa" for _ in range(20)}
+    lex = toxicity.Lexicon(terms, stems, forms)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    def misspelt(w):
+        for _ in range(rng.randrange(1, 4)):
+            k = rng.randrange(len(w))
+            w = w[:k] + rng.choice(["", "a", "f", w[k] + "b"]) + w[k + 1 :]
+        return w
+
+    for w in [misspelt(t) for t in [*rng.sample(sorted(terms), 100), *forms]]:
+        if w in terms or w.startswith("zzfa") or not 4 <= len(w) <= 40:
+            continue
+        near = [(d, t) for t in terms.keys() | forms.keys() if (d := distance(w, t)) <= toxicity.edits_for(t)]
+        best = min(near) if near else None
+        assert lex.match(w) == (best and (best[1] if best[1] in terms else forms[best[1]] + "*", best[0])), w
+    rows = [(words(rng, 40) + " " + ("idiot", "idiots", "idiotic")[k // 5 % 3] * (k % 5 == 0), int(k % 5 == 0)) for k in range(300)]
+    learned = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int"), scratch).lexicon
+    assert "idio" in learned.stems and "idiot" not in learned.terms
+    assert [learned.match(w) for w in ("idiiot", "ediot", "idoitic", "idi0tic")] == [("idio*", 1), ("idio*", 1), None, ("idio*", 1)]
+
+
 @pytest.mark.parametrize("size,percent", [(4, 85), (5, 80)])
 def test_jaccard_join(spark, scratch, monkeypatch, size, percent):
     monkeypatch.setattr(jaccard_join, "FREQUENT", 4)
