@@ -53,14 +53,14 @@ PATTERNS = [
         r"|\d{3}-\d{3}-\d{4}|\d{4}[\s.-]\d{4}|\d{3}\.\d{3}\.\d{4}"
         r"|0\d{2,4}[\s.]\d{3,4}[\s.]\d{3,4}"
         r")(?!\d))",
-        r"\d{3}",
+        r"\d{3}|\+\d",
     ),
     Pattern("email", r"()((?<![A-Za-z0-9_%+-])[A-Za-z0-9](?:[A-Za-z0-9_.+-]*[A-Za-z0-9])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9]))", "@"),
     Pattern(
         "url",
         r"(?i)()((?U:\b)(?:https?://|tps://|www\.)(?U:[\w./\-?=&%#:@]+)"
         r"|(?U:(?<![@\w]))(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?:/(?U:[\w./\-?=&%#:@]*))?(?![A-Za-z0-9_-]))",
-        r"://|\.[A-Za-z]",
+        r"(?i)://|www\.|\.[A-Z]",
     ),
     Pattern(
         "address",

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillveil.functions import checks
 from quillveil.functions import spans as S
-from quillveil.functions.patterns import CATEGORIES
+from quillveil.functions.patterns import CATEGORIES, PATTERNS
 from quillveil.operators import audit, evaluate, merge, redact, resolve
 from quillveil.plans import redaction
 from quillveil.sources import readers
@@ -40,6 +40,30 @@ def test_offsets_and_categories(spark):
     assert any(c == "address" for c, _ in found)
 
 
+# the shortest match of each branch, and others that lack what the other branches have in common
+SHORTEST = {
+    "abn": ["33051775556"], "tfn": ["12345678"], "acn": ["123456789"], "medicare": ["1234567890"], "bsb_account": ["123456"],
+    "patient_id": ["pt id 12345", "Patient no 12345", "PATIENT IDENTIFIER: A-12"], "medical_record_number": ["mrn ABCDE", "Medical record no ABCDE", "HOSPITAL ur ABCDE"],
+    "healthcare_identifier": ["ihi 1234567812345678"], "name": ["client:A B", "Next of Kin - A B", "patient #A B"], "passport": ["A1234567"], "driver_licence": ["123456"], "centrelink_crn": ["123456789A"],
+    "phone": [
+        "+61212341234", "+61412341234", "(02)12341234", "02 12341234", "0412345678", "+1(22)333333", "+1(0)1333333", "+1333 333", "+45 12 34 56 78", "+47 22 33", "+1-22-33",
+        "1(22)333333", "(22)333333", "123-123-1234", "1234 1234", "123.123.1234", "012 123 123",
+    ],
+    "email": ["a@b.cd"], "url": ["http://a", "HTTPS://a", "tps://a", "www.-", "www.1", "WWW.1", "www.é", "a.bc"], "address": ["1 St", "1 a way"],
+    "username": ["login:abc", "handle = abc", "@abc", "a.b", "a_b", "a-b", "abcd1", "...a.b...", "...abcd1..."],
+    "generic_id": ["id:abc", "ref#abc", "case-abc", "AB:12345", "AB:ABCDE", "123-12-1234", "A 12 12 12 A", "ABCDE1", "1,1,1", "1234567890"],
+    "date": ["1/1/11", "1:11", "1a11", "11a11", "half past 1", "1 o'clock", "abc/1", "may/1", "abc 1 11", "1a abc 11", "1 abc abc 1", "May 1 11", "1 May 11"], "ip_address": ["1.1.1.1"],
+}
+
+
+def test_prefilters_are_necessary(spark):
+    assert set(SHORTEST) == set(CATEGORIES)
+    for p in PATTERNS:
+        df = spark.createDataFrame([(t,) for t in SHORTEST[p.category]], "t string")
+        got = df.select("t", F.col("t").rlike(p.regex).alias("match"), F.col("t").rlike(p.needs).alias("passes"), F.size(S.hits(F.col("t"), p)).alias("n")).collect()
+        assert [r["t"] for r in got if not (r["match"] and r["passes"] and r["n"])] == [], p.category
+
+
 @pytest.mark.parametrize("text", [None, "", "no hits here", "\x01\x02"])
 def test_no_hits(spark, text):
     assert spark.createDataFrame([(text,)], "t string").select(F.size(S.detect(S.clean(F.col("t")), ["email", "ip_address", "tfn"]))).first()[0] == 0
