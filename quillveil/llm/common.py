@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..ship import ship
+
 #: rows of a hot-key table, and so the bound of what is broadcast for it
 HOT_KEYS = 1000
 
@@ -21,23 +23,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir; a new temporary one only where that is unset."""
+    """The cluster's shared folder, spark.checkpoint.dir.  Only a local master, whose workers share the machine, may leave it unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='quillveil-')}"
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
-def bytes_of(df: DataFrame) -> int:
-    """Size of the files a table is read from, as Hadoop's file systems state it."""
-    spark, total = df.sparkSession, 0
-    jvm = spark._jvm
-    for name in df.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
-    return total
+ROW_KEY = ["_key_file", "_key_row"]
+
+
+def row_keyed(docs: DataFrame) -> DataFrame:
+    """docs with two numbers that tell every row from all others (ROW_KEY), whatever its columns hold.
+
+    Rows of parquet files are known by the file's name, hashed, and their place in it, so
+    the numbers are the same however the scan is cut; rows of other tables by Spark's own numbering, which
+    holds as long as the plan below gives the same partitions again.
+    """
+    try:
+        return docs.select("*", F.xxhash64("_metadata.file_path").alias(ROW_KEY[0]), F.col("_metadata.row_index").alias(ROW_KEY[1]))
+    except AnalysisException:
+        return docs.select("*", F.lit(0).cast("long").alias(ROW_KEY[0]), F.monotonically_increasing_id().alias(ROW_KEY[1]))
 
 
 class Scratch:
@@ -150,20 +160,6 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the workers this package, once a session, in case they can't import it already."""
-    sc = spark.sparkContext
-    if getattr(sc, "_quillveil_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    at = Path(tempfile.mkdtemp(prefix="quillveil-")).resolve() / "quillveil_package.zip"
-    with zipfile.ZipFile(at, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    sc.addPyFile(str(at))
-    sc._quillveil_shipped = True
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Ready for Python workers: the package shipped, and Arrow batches of at most `rows` rows, so that a batch of very long texts fits a worker."""
     ship(spark)

@@ -31,13 +31,13 @@ class DigestIndex:
     new side is exchanged; `append` writes into the same buckets.
     """
 
-    def __init__(self, spark: SparkSession, location: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, location: str, buckets: int = 64, id_type: str = "bigint"):
         self.spark, self.location, self.buckets = spark, location, buckets
         self.name = f"digest_index_{uuid.uuid5(uuid.NAMESPACE_URL, location).hex}"
         if not re.fullmatch(r"[^'\\]+", location):
             raise ValueError("the location can't hold quotes or backslashes")
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} (digest STRING, keep_id BIGINT, n_chars BIGINT, group_size BIGINT) USING parquet "
+            f"CREATE TABLE IF NOT EXISTS {self.name} (digest STRING, keep_id {id_type}, n_chars BIGINT, group_in_batch BIGINT) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{location}'"
         )
 
@@ -49,7 +49,7 @@ class DigestIndex:
         return digests.join(self.table().hint("merge"), "digest", "left_anti")
 
     def append(self, digests: DataFrame) -> None:
-        rows = digests.select("digest", "keep_id", "n_chars", "group_size")
+        rows = digests.select("digest", "keep_id", "n_chars", "group_in_batch")
         rows.repartition(self.buckets, "digest").write.mode("append").insertInto(self.name)
 
 
@@ -60,18 +60,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def batch_winners(prints: DataFrame) -> DataFrame:
-    """A row per digest: the row that stays (most code points, then smallest id) and the group's size."""
-    best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("neg")))
-    return prints.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size")).select(
-        "digest", (-F.col("best.neg")).alias("keep_id"), F.col("best.n_chars").alias("n_chars"), "group_size"
+    """A row per digest: the row that stays (most code points, then smallest id, null last) and the group's size."""
+    best = F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id"))
+    return prints.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_in_batch")).select(
+        "digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.less")).alias("n_chars"), "group_in_batch"
     )
 
 
 def dedup_batch(docs: DataFrame, index: DigestIndex, scratch: Scratch) -> DataFrame:
     """Dedup one batch against the index and within itself; append what is new.
 
-    Returns a row per input row: doc_id, n_chars, digest, keep_id, group_size,
-    kept.  Within the batch the row with the most code points stays, then the
+    Returns a row per input row: doc_id, n_chars, digest, keep_id, group_in_batch (equal
+    texts in this batch, earlier ones not counted), kept.  Ids may be of any type that can be ordered.  Within the batch the row with the most code points stays, then the
     smallest doc_id; a text that the index already holds stays nowhere in the
     batch: its keep_id is that of the earlier batch.  Null texts are empty
     texts; a null doc_id sorts behind all others and is never kept where another
@@ -86,12 +86,12 @@ def dedup_batch(docs: DataFrame, index: DigestIndex, scratch: Scratch) -> DataFr
     winners = scratch.keep(batch_winners(prints))
     index.append(index.new_rows(winners))
     held = index.table().select("digest", F.col("keep_id").alias("held_id"))
-    answers = winners.select("digest", "group_size").join(held.hint("merge"), "digest").withColumnRenamed("held_id", "keep_id")
-    out = lookup(prints, answers, "digest", "group_size", F.col("doc_id"))
+    answers = winners.select("digest", "group_in_batch").join(held.hint("merge"), "digest").withColumnRenamed("held_id", "keep_id")
+    out = lookup(prints, answers, "digest", "group_in_batch", F.xxhash64("doc_id", F.monotonically_increasing_id()))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
 def exact_dedup(docs: DataFrame, scratch: Scratch, buckets: int = 64) -> DataFrame:
     """`dedup_batch` of one batch against an index of its own in the shared folder."""
-    index = DigestIndex(scratch.spark, f"{scratch.root}/index", buckets)
+    index = DigestIndex(scratch.spark, f"{scratch.root}/index", buckets, docs.schema["doc_id"].dataType.simpleString())
     return dedup_batch(docs, index, scratch)

@@ -101,7 +101,7 @@ def solve(sizes: DataFrame, entropy_share: float | None = None, max_repeats: flo
 def mix(docs: DataFrame, mixture: Mixture, sizes: DataFrame, blocks: int, seed: int, scratch: Scratch) -> DataFrame:
     """Deal out the budget: one row for each time a document is read.
 
-    docs: (doc_id, source, n_tokens).  A source with weight w gets budget * w
+    docs: (doc_id, source, n_tokens), and further columns that are carried along.  A source with weight w gets budget * w
     tokens: whole readings of all its documents, and for the rest those that come
     first in the source's permutation and still fit whole.  Returns doc_id,
     source, n_tokens, weight, epoch (0, 1, ...) and block: the budget is cut into
@@ -133,4 +133,5 @@ def mix(docs: DataFrame, mixture: Mixture, sizes: DataFrame, blocks: int, seed:
     dealt = known.withColumn("reads", reads).where("reads > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("reads") - 1)))
     done = F.col("epoch") * F.col("tokens") + F.col("upto") - F.col("n_tokens")
     block = F.when(F.col("quota") > 0, F.least(F.lit(blocks - 1), F.floor(done / F.col("quota") * blocks))).otherwise(0)
-    return dealt.select("doc_id", "source", "n_tokens", "weight", "epoch", block.cast("int").alias("block"), F.xxhash64(F.lit(seed), "epoch", "doc_id").alias("place"))
+    more = [c for c in docs.columns if c not in ("doc_id", "source", "n_tokens")]
+    return dealt.select("doc_id", "source", "n_tokens", *more, "weight", "epoch", block.cast("int").alias("block"), F.xxhash64(F.lit(seed), "epoch", "doc_id").alias("place"))

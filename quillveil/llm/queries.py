@@ -29,7 +29,7 @@ def op5_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
     out = exact_dedup(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
-    return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+    return out.select("doc_id", "keep_id", F.col("group_in_batch").alias("group_size"), "kept", F.col("digest").alias("text_sha256"))
 
 
 ORACLE["op5_digest_index"] = r"""

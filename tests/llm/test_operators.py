@@ -167,10 +167,11 @@ def test_misspellings_of_all_terms_and_forms(spark, scratch):
     assert [learned.match(w) for w in ("idiiot", "ediot", "idoitic", "idi0tic")] == [("idio*", 1), ("idio*", 1), None, ("idio*", 1)]
 
 
-@pytest.mark.parametrize("size,percent", [(4, 85), (5, 80)])
-def test_jaccard_join(spark, scratch, monkeypatch, size, percent):
-    monkeypatch.setattr(jaccard_join, "FREQUENT", 4)
-    monkeypatch.setattr(jaccard_join, "FEW", 3)
+SMALL = jaccard_join.Limits(pairs_from=3, threes_from=6, heavy_share=0.0, heavy_least=10, tokens_at_once=3000, block=3, block_tokens=2000)
+
+
+@pytest.mark.parametrize("size,percent,limits", [(4, 85, SMALL), (5, 80, SMALL), (3, 50, SMALL), (4, 85, jaccard_join.Limits())])
+def test_jaccard_join(spark, scratch, size, percent, limits):
     rng = random.Random(size)
     rows, passage = [], words(rng, 40, 500)
     for g in range(12):
@@ -190,14 +191,14 @@ def test_jaccard_join(spark, scratch, monkeypatch, size, percent):
     sets = {i: shingles(t) for i, t in rows}
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     want = union_find(sets, links)
-    got = jaccard_join.similar_sets(docs_of(spark, rows), scratch, size, percent).collect()
+    got = jaccard_join.similar_sets(docs_of(spark, rows).repartition(5), scratch, size, percent, limits=limits).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(sets[i]), want[i]) for i in sets}
     assert jaccard_join.similar_sets(docs_of(spark, []), scratch, size, percent).count() == 0
 
 
 def test_exact_dedup(spark, scratch):
     rows = [(1, "a b"), (2, "ab "), (3, " a  b"), (4, None), (5, ""), (6, "\t\n"), (7, "a\xa0b"), (8, "ab"), (8, "ab"), (None, "q")]
-    got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs_of(spark, rows), scratch, 2).collect()}
+    got = {(r["doc_id"], r["keep_id"], r["group_in_batch"], r["kept"]) for r in exact_dedup.exact_dedup(docs_of(spark, rows), scratch, 2).collect()}
     assert got == {(1, 3, 5, False), (2, 3, 5, False), (3, 3, 5, True), (8, 3, 5, False), (4, 6, 3, False), (5, 6, 3, False), (6, 6, 3, True), (7, 7, 1, True), (None, None, 1, True)}
     index = exact_dedup.DigestIndex(spark, scratch.path(), 4)
     first = exact_dedup.dedup_batch(docs_of(spark, [(1, "x"), (2, "y")]), index, scratch).collect()
