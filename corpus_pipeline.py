@@ -1,7 +1,9 @@
 """A training-data pipeline over `documents`: five stages of the operators in quillveil.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of docs.
+columns of docs.  Rows are told apart by their place in the files (`row_keyed`), never by doc_id, so
+ids may repeat or be null: no stage loses a row, or keeps one, because of another row's id.
+Null texts count as empty; other columns are carried and not looked at; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillveil.llm.common import Scratch, table
+from quillveil.llm.common import ROW_KEY, Scratch, row_keyed, table
 from quillveil.llm.exact_dedup import exact_dedup
 from quillveil.llm.jaccard_join import similar_sets
 from quillveil.llm.mixing import mix, solve, source_sizes, tokens_of
@@ -26,40 +28,50 @@ REPEATS = 1.5
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the toxicity limit, by a model of the labelled rows of docs."""
+    """Documents below the toxicity limit, by a model of the labelled rows among them.
+
+    The model is learned from the same rows that it then scores, as far as they are labelled; what it
+    is worth on other rows is measured by query op3.  Without labels of both kinds all rows stay.
+    """
     labels = table(spark, sf_dir, "labels")
-    model = learn(training_rows(docs.select("doc_id", "text"), labels, F.lit(False), Scratch(spark, "toxic")), Scratch(spark, "toxic"))
-    return reject(docs, model, TOXIC_FROM)
+    scratch = Scratch(spark, "toxic")
+    return reject(docs, learn(training_rows(docs.select("doc_id", "text"), labels, F.lit(False), scratch), scratch), TOXIC_FROM)
+
+
+def _ids(keyed: DataFrame) -> DataFrame:
+    """(doc_id, text) with an id that no two rows share and that is ordered by doc_id first."""
+    return keyed.select(F.struct("doc_id", *ROW_KEY).alias("doc_id"), "text")
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows of these ids; rows of a null id stay."""
-    return docs.join(dropped.select("doc_id").where("doc_id is not null"), "doc_id", "left_anti").select(docs.columns)
+def _without(keyed: DataFrame, dropped: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows whose key isn't among those of `dropped` (doc_id as `_ids` made it)."""
+    return keyed.join(dropped.select("doc_id.*").select(*ROW_KEY), ROW_KEY, "left_anti").select(columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    scratch = Scratch(spark, "exact")
-    return without(docs, scratch.keep(exact_dedup(docs, scratch).where("not kept").select("doc_id")))
+    """One document of each group of equal texts: that of most code points, then smallest id, then first place."""
+    scratch, keyed = Scratch(spark, "exact"), row_keyed(docs)
+    found = exact_dedup(_ids(keyed), scratch)
+    return _without(keyed, scratch.keep(found.where("not kept").select("doc_id")), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each component of near copies."""
-    scratch = Scratch(spark, "near")
-    found = similar_sets(docs, scratch, SHINGLE, SIMILAR)
-    return without(docs, scratch.keep(found.where("doc_id <> component_id").select("doc_id")))
+    """One document of each component of near copies: that of the smallest id, then first place."""
+    scratch, keyed = Scratch(spark, "near"), row_keyed(docs)
+    found = similar_sets(_ids(keyed), scratch, SHINGLE, SIMILAR)
+    return _without(keyed, scratch.keep(found.where("doc_id <> component_id").select("doc_id")), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture reads it, once at least."""
-    scratch = Scratch(spark, "mix")
-    counted = scratch.keep(docs.select("doc_id", "source", tokens_of(F.col("text")).alias("n_tokens")))
+    scratch, keyed = Scratch(spark, "mix"), row_keyed(docs)
+    counted = scratch.keep(keyed.select("doc_id", "source", tokens_of(F.col("text")).alias("n_tokens"), *ROW_KEY))
     sizes = scratch.keep(source_sizes(counted))
     dealt = mix(counted, solve(sizes, max_repeats=REPEATS), sizes, blocks=64, seed=7, scratch=scratch)
     # rows read once, which are most, need no lookup
-    often = scratch.keep(dealt.where("doc_id is not null").groupBy("doc_id").agg(F.max("epoch").alias("_more")).where("_more > 0"))
+    often = scratch.keep(dealt.groupBy(*ROW_KEY).agg(F.max("epoch").alias("_more")).where("_more > 0"))
     reads = F.explode(F.sequence(F.lit(0), F.coalesce("_more", F.lit(0))))
-    return docs.join(often, "doc_id", "left").select(*docs.columns, reads.alias("_read")).drop("_read")
+    return keyed.join(often, ROW_KEY, "left").select(*docs.columns, reads.alias("_read")).drop("_read")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
