@@ -160,11 +160,15 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Ready for Python workers: the package shipped, and Arrow batches of at most `rows` rows, so that a batch of very long texts fits a worker."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Ready for Python workers: the package shipped, and Arrow batches of at most `rows` rows and about `size` bytes, so that batches of very long texts fit a worker.
+
+    The settings stay for the session, as the plans that need them run after this returns.
+    """
     ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def ordered(df: DataFrame, groups: list[str], order: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:

@@ -37,7 +37,7 @@ class Limits(NamedTuple):
     heavy_share: float = 1 / 200
     heavy_least: int = 1000
     #: tokens that a task holds before it deals them out, and that are sorted at once
-    tokens_at_once: int = 2_000_000
+    tokens_at_once: int = 1_000_000
     #: rows of a family, and tokens in all, that are compared in one task
     block: int = 2048
     block_tokens: int = 2_000_000
@@ -163,7 +163,7 @@ def _part_and_rest(tokens: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarr
     low = np.uint64(0xFFFFFFFF)
     with np.errstate(over="ignore"):
         part = ((tokens >> np.uint64(32)) * p + (((tokens & low) * p) >> np.uint64(32))) >> np.uint64(32)
-        return part.astype(np.int64), (tokens * p) >> np.uint64(24)
+        return part.astype(np.int32), (tokens * p) >> np.uint64(24)
 
 
 def _pack(rest: np.ndarray) -> np.ndarray:
@@ -193,8 +193,15 @@ _DEALT_TYPES = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
 
 
 def _rows_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(rows), 256):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 256]), _DEALT_TYPES)], _DEALT_NAMES)
+    """Record batches of some MB."""
+    at = 0
+    while at < len(rows):
+        end, size = at, 0
+        while end < len(rows) and size < 4 << 20:
+            size += sum(len(x) for x in rows[end][3:] if x is not None)
+            end += 1
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at:end]), _DEALT_TYPES)], _DEALT_NAMES)
+        at = end
 
 
 def _slices(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -216,7 +223,7 @@ def _deal(batch: int, sets: list[np.ndarray], nodes: list[int], heavy: np.ndarra
 
     One more row (part -1) goes to the batch's home at once, with its nodes, their sizes, and heavy tokens with codes.
     """
-    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
     part, rest = _part_and_rest(tokens, parts)
     hot = np.zeros(len(tokens), bool)
     ids, hot_codes = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
@@ -293,7 +300,7 @@ def _assemble(batches: Iterator[pa.RecordBatch], percent: int, limits: Limits) -
         out: list[tuple] = []
         for k, s in _slices(owner):
             out.append((int(nodes[k]), int(n[k]), np.sort(token[s]).tobytes(), signatures(token[s], code[s], int(alone[k]), percent, limits).view(np.int64)))
-            if len(out) == 256:
+            if len(out) == 128:
                 yield _sets_batch(out)
                 out = []
         if out:
