@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,8 +14,13 @@ ACN = [8, 7, 6, 5, 4, 3, 2, 1]
 MEDICARE = [1, 3, 7, 9, 1, 3, 7, 9]
 
 
+_OTHER_DIGITS = [chr(c) for c in range(128, 0x20000) if unicodedata.category(chr(c)) == "Nd"]
+
+
 def digits(value: Column) -> Column:
-    return F.regexp_replace(F.coalesce(value, F.lit("")), r"\D", "")
+    """The digits of a value, of any script, as ASCII; null has none."""
+    plain = F.translate(F.coalesce(value, F.lit("")), "".join(_OTHER_DIGITS), "".join(str(unicodedata.digit(c)) for c in _OTHER_DIGITS))
+    return F.regexp_replace(plain, "[^0-9]", "")
 
 
 def digit(d: Column, place: int) -> Column:

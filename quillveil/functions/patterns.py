@@ -8,6 +8,14 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+#: what counts as a blank: Unicode's white space and the four separators U+001C to U+001F
+BLANK = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def unicode(regex: str) -> str:
+    """A regex whose blanks, digits and word bounds are Unicode's, not ASCII's alone, on any JDK."""
+    return regex.replace(r"\s", BLANK).replace(r"\d", r"\p{Nd}").replace(r"\b", r"(?U:\b)")
+
 
 class Pattern(NamedTuple):
     category: str
@@ -16,6 +24,7 @@ class Pattern(NamedTuple):
 
 
 _MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
+_WORD = "[A-Z]{3,12}"
 _EXT = r"(?:\s*(?:x|ext\.?|extension)\s*\d{1,6})?"
 _NAME = r"[A-Z](?:[a-z]+)?(?:['-][A-Z][a-z]+)*"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d{2}|[1-9]\d|\d)"
@@ -23,7 +32,7 @@ _HANDLE = r"[a-zA-Z0-9][a-zA-Z0-9_-]*(?:\.[a-zA-Z0-9][a-zA-Z0-9_-]*)*"
 _SEPARATED = r"(?=[a-zA-Z0-9._-]*[._-])(?=[a-zA-Z0-9._-]*[a-zA-Z])"
 _DIGITED = r"(?=[a-zA-Z0-9._-]*\d)(?=[a-zA-Z0-9._-]*[a-zA-Z])"
 
-# The shapes of the twenty categories, as the data model defines them.
+# The shapes of the twenty categories, as the data model defines them; \s, \d and \b stand for Unicode's (see `unicode`).
 PATTERNS = [
     Pattern("abn", r"()((?<!\d)\d{2}[\s-]?\d{3}[\s-]?\d{3}[\s-]?\d{3}(?!\d))", r"\d{2}"),
     Pattern("tfn", r"()((?<!\d)\d{3}[\s-]?\d{3}[\s-]?\d{2,3}(?!\d))", r"\d{3}"),
@@ -77,7 +86,7 @@ PATTERNS = [
         r"|(?=[a-zA-Z0-9._-]{5,32}(?U:(?![\w-])))" + _DIGITED + _HANDLE + r")(?U:(?![\w-]))"
         r"|(?<=\.\.\.)((?=[a-zA-Z0-9._-]{3,32}(?=\.\.\.))" + _SEPARATED + _HANDLE +
         r"|(?=[a-zA-Z0-9._-]{5,32}(?=\.\.\.))" + _DIGITED + _HANDLE + r")(?=\.\.\.)",
-        r"[@._\-0-9:=]",
+        r"[@._\-\d:=]",
     ),
     Pattern(
         "generic_id",
@@ -88,25 +97,24 @@ PATTERNS = [
         r"|(?<![A-Z0-9])(?-i:(?=[A-Z0-9]{6,18}\b)(?=[A-Z0-9]*\d)(?=[A-Z0-9]*[A-Z])[A-Z0-9]{6,18})(?![A-Z0-9])"
         r"|(?<!\d)\d{1,2}(?:,\d{1,2}){2,5},?(?!\d)"
         r"|(?<!\d)\d{10,16}(?!\d))",
-        r"[0-9:#-]",
+        r"[\d:#-]",
     ),
     Pattern(
         "date",
-        r"(?i)()(\b(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{1,2}:\d{2}(?::\d{2})?|\d\s*[A-Za-z]\s*\d{2}|\d{1,2}\s*[A-Za-z]\s*\d{2}"
-        r"|(?:half past|quarter past|quarter to)\s+\d{1,2}|\d{1,2}\s+o'clock|[A-Za-z]{3,12}[/-]\d{1,4}"
-        r"|[A-Za-z]{3,12}\s+\d{1,2}[A-Za-z]{0,3}\.?,?\s+\d{2,4}|\d{1,2}[A-Za-z]{1,3}\s+[A-Za-z]{3,12}\s+\d{2,4}"
-        r"|\d{1,2}\s+[A-Za-z]{3,12}\s+[A-Za-z]{3,12}\s+\d{1,2}"
-        r"|" + _MONTH + r"[/-]\d{1,4}|" + _MONTH + r"[/-]\d{1,2}"
-        r"|" + _MONTH + r"\s+\d{1,2}(?:st|nd|rd|th)?\.?,?\s+\d{2,4}"
-        r"|\d{1,2}(?:st|nd|rd|th)?\.?\s+" + _MONTH + r"\s+\d{2,4})(?!\d))",
+        r"(?i)()(\b(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{1,2}:\d{2}(?::\d{2})?|\d{1,2}\s*[A-Z]\s*\d{2}"
+        r"|(?:half past|quarter (?:past|to))\s+\d{1,2}|\d{1,2}\s+o'clock"
+        # a word for the month, whatever it is, in three orders; the month's own name after an ordinal with a full stop
+        r"|" + _WORD + r"[/-]\d{1,4}|" + _WORD + r"\s+\d{1,2}[A-Z]{0,3}\.?,?\s+\d{2,4}|\d{1,2}[A-Z]{1,3}\s+" + _WORD + r"\s+\d{2,4}"
+        r"|\d{1,2}\s+" + _WORD + r"\s+" + _WORD + r"\s+\d{1,2}|\d{1,2}(?:st|nd|rd|th)?\.?\s+" + _MONTH + r"\s+\d{2,4})(?!\d))",
         r"\d",
     ),
     Pattern("ip_address", r"()(\b(?:" + _OCTET + r"\.){3}" + _OCTET + r"\b)", r"\d\.\d"),
 ]
 
+PATTERNS = [p._replace(regex=unicode(p.regex), needs=unicode(p.needs)) for p in PATTERNS]
 CATEGORIES = [p.category for p in PATTERNS]
 
 # Tokens that are never user names, reserved host endings.
 BENIGN_TOKENS = ["snake_case_tokens", "markdown_headers", "service_timeout_ms", "retry_limit", "enable_cache", "log_level"]
-BENIGN_NAME = r"(?i)^(?:alpha|beta|gamma|omega|filler|batch|shard|build|train)\d{3,}$"
+BENIGN_NAME = unicode(r"(?i)^(?:alpha|beta|gamma|omega|filler|batch|shard|build|train)\d{3,}$")
 RESERVED_HOSTS = [".invalid", ".test", ".example"]

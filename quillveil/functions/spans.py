@@ -1,11 +1,14 @@
 """Regex matches as arrays of spans with code-point offsets, without Python.
 
-Matches are marked in the text by two control characters, the text is cut at
-the first and offsets are the running lengths of the parts.
+Matches are marked in the text by control characters and the text is cut at the first of them.  A cut
+knows its length alone; offsets are the running sums, which `positions` makes here and
+`operators.resolve` makes in Arrow batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,65 +17,133 @@ from .patterns import BENIGN_NAME, BENIGN_TOKENS, PATTERNS, RESERVED_HOSTS, Patt
 
 HIT = "struct<start:int,end:int,value:string>"
 SPAN = "struct<category:string,start:int,end:int,value:string,confidence:double,validator_passed:boolean,needs_review:boolean,seq:int>"
+#: categories with a checksum, and with hits that are surely not personal
+CHECKED = ["tfn", "abn", "acn", "medicare", "bsb_account"]
+SCREENED = ["username", "url", "generic_id"]
+#: cuts whose running sums are made at once
+_STRETCH = 128
 
 
 def clean(text: Column) -> Column:
-    """Null as empty; the two marks replaced by U+FFFD, which keeps offsets."""
-    return F.translate(F.coalesce(text, F.lit("")), "\x01\x02", "\ufffd\ufffd")
-
-
-def marked_hits(marked: Column) -> Column:
-    parts = F.split(marked, "\x01")
+    """Null as empty; the marks replaced by U+FFFD, which keeps offsets."""
+    return F.translate(F.coalesce(text, F.lit("")), "\x01\x02\x03", "���")
 
-    def step(acc: Column, part: Column) -> Column:
-        n = F.locate("\x02", part) - 1
-        hit = F.struct(acc["at"].alias("start"), (acc["at"] + n).alias("end"), F.substring(part, F.lit(1), n).alias("value"))
-        return F.struct((acc["at"] + F.char_length(part) - 1).alias("at"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
 
-    start = F.struct(F.char_length(F.element_at(parts, 1)).alias("at"), F.array().cast(f"array<{HIT}>").alias("hits"))
-    return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), start, step, lambda acc: acc["hits"])
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def hits(text: Column, pattern: Pattern) -> Column:
-    """Hits of one pattern in a clean text, in order."""
-    groups = pattern.regex.count("(") and _groups(pattern.regex)
-    marked = F.regexp_replace(text, pattern.regex, "$1\x01" + "".join(f"${k}" for k in range(2, groups + 1)) + "\x02")
-    return F.when(text.rlike(pattern.needs), marked_hits(marked)).otherwise(F.array().cast(f"array<{HIT}>"))
-
-
-def _groups(regex: str) -> int:
+def groups_of(regex: str) -> int:
     """Capturing groups of a regex without named groups."""
-    n, k, inside = 0, 0, False
+    n, k, depth = 0, 0, 0
     while k < len(regex):
         c = regex[k]
         if c == "\\":
             k += 1
         elif c == "[":
-            inside = True
+            depth += 1
         elif c == "]":
-            inside = False
-        elif c == "(" and not inside and regex[k + 1 : k + 2] != "?":
+            depth -= 1
+        elif c == "(" and not depth and regex[k + 1 : k + 2] != "?":
             n += 1
         k += 1
     return n
 
 
+def _marked(text: Column, regex: str) -> Column:
+    """The text with U+0001 before and U+0002 behind each value, and U+0003 between the groups that it may be."""
+    between = "\x03".join(f"${k}" for k in range(2, groups_of(regex) + 1))
+    return F.regexp_replace(text, regex, "$1\x01" + between + "\x02")
+
+
+def _value(part: Column) -> Column:
+    """The value at the beginning of a part, with marks between groups."""
+    return F.substring_index(part, "\x02", 1)
+
+
+def cuts(text: Column, pattern: Pattern, strict: bool = False, values: bool = False) -> Column:
+    """The text's parts, each from a hit to the next, as array<struct<size, n, drop, ok>>; null without hits.
+
+    size: code points of the part; n: those of the value it begins with (-1: the part before all
+    hits); drop: surely not personal; ok: whether the category's check holds (null: it has none); with
+    `values` also the value itself.
+    """
+    def one(part: Column) -> Column:
+        hit = F.contains(part, F.lit("\x02"))
+        value = F.translate(_value(part), "\x03", "")
+        marks = groups_of(pattern.regex) - 1
+        bare = F.startswith(part, F.lit("\x03")) & ~F.startswith(part, F.lit("\x03\x03")) if pattern.category == "username" else F.lit(False)
+        drop = benign(F.lit(pattern.category), value, strict, bare) if pattern.category in SCREENED else F.lit(False)
+        ok = checks.passed(F.lit(pattern.category), value) if pattern.category in CHECKED else F.lit(None).cast("boolean")
+        return F.struct(
+            F.when(hit, F.char_length(part) - marks).otherwise(F.char_length(part)).alias("size"), F.when(hit, F.char_length(value)).otherwise(-1).alias("n"),
+            F.coalesce(hit & drop, F.lit(False)).alias("drop"), F.when(hit, ok).alias("ok"), *([F.when(hit, value).alias("value")] if values else []),
+        )
+
+    parts = F.split(_marked(text, pattern.regex), "\x01")
+    return F.when(text.rlike(pattern.needs), let(parts, lambda p: F.when(F.size(p) > 1, F.transform(p, one))))
+
+
+def positions(sizes: Column) -> Column:
+    """The sum of all sizes before each one, a stretch at a time, so that the work grows little faster than the array."""
+
+    def total(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0), lambda a, b: a + b)
+
+    def within(rows: Column) -> Column:
+        return let(F.transform(rows, total), lambda sums: F.transform(rows, lambda x, k: let(total(F.slice(sums, 1, k)), lambda base: F.transform(x, lambda _, j: base + total(F.slice(x, 1, j))))))
+
+    def stretches(s: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / _STRETCH).cast("int")), lambda k: F.slice(s, k * _STRETCH + 1, F.lit(_STRETCH)))
+
+    return let(sizes, lambda s: F.when(F.size(s) > 0, F.flatten(let(stretches(s), within))).otherwise(F.array().cast("array<int>")))
+
+
+def hits(text: Column, pattern: Pattern) -> Column:
+    """Hits (start, end, value) of one pattern in a clean text, in order."""
+    return F.transform(found(text, pattern), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["value"].alias("value")))
+
+
+def found(text: Column, pattern: Pattern, strict: bool = False) -> Column:
+    """Hits with (start, end, value, drop, ok)."""
+    def placed(c: Column) -> Column:
+        with_starts = F.zip_with(c, positions(F.transform(c, lambda x: x["size"])), lambda x, at: F.struct(at.alias("start"), x.alias("c")))
+        return F.transform(
+            F.filter(with_starts, lambda x: x["c"]["n"] >= 0),
+            lambda x: F.struct(
+                x["start"].alias("start"), (x["start"] + x["c"]["n"]).alias("end"), x["c"]["value"].alias("value"), x["c"]["drop"].alias("drop"), x["c"]["ok"].alias("ok"),
+            ),
+        )
+
+    none = F.array().cast("array<struct<start:int,end:int,value:string,drop:boolean,ok:boolean>>")
+    return F.coalesce(let(cuts(text, pattern, strict, values=True), placed), none)
+
+
 def benign(category: Column, value: Column, strict: bool = False, bare: Column | None = None) -> Column:
-    """Hits that are surely not personal: filler tokens, reserved hosts, four capitals and four digits."""
+    """Hits that are surely not personal: filler tokens, reserved hosts, four capitals and four digits.
+
+    strict: of user names that stand without a label (bare) only those with one of @ . _ - stay.
+    """
     v = F.regexp_replace(F.trim(value), r"[.,;:)]+$", "")
     low = F.lower(v)
     user = v.rlike(BENIGN_NAME) | low.isin(BENIGN_TOKENS)
     if strict:
-        user = user | ~v.rlike(r"[@._-]")
+        user = user | ((F.lit(False) if bare is None else bare) & ~v.rlike(r"[@._-]"))
     host = low == "localhost"
     for end in RESERVED_HOSTS:
         host = host | low.endswith(end)
-    return ((category == "username") & user) | ((category == "url") & host) | ((category == "generic_id") & v.rlike(r"^[A-Z]{4}\d{4}$"))
+    return ((category == "username") & user) | ((category == "url") & host) | ((category == "generic_id") & v.rlike(r"^[A-Z]{4}[0-9]{4}$"))
+
+
+def chosen(categories: list[str] | None) -> list[tuple[int, Pattern]]:
+    """Patterns with their place in the order of detection."""
+    return [(k, p) for k, p in enumerate(PATTERNS) if categories is None or p.category in categories]
 
 
-def as_spans(found: Column, category: str, seq: int) -> Column:
+def as_spans(rows: Column, category: str, seq: int) -> Column:
     return F.transform(
-        found,
+        rows,
         lambda h: F.struct(
             F.lit(category).alias("category"), h["start"].alias("start"), h["end"].alias("end"), h["value"].alias("value"), F.lit(1.0).alias("confidence"),
             F.lit(None).cast("boolean").alias("validator_passed"), F.lit(False).alias("needs_review"), F.lit(seq).alias("seq"),
@@ -82,8 +153,8 @@ def as_spans(found: Column, category: str, seq: int) -> Column:
 
 def detect(text: Column, categories: list[str] | None = None, strict: bool = False) -> Column:
     """All hits of all patterns in a clean text, by pattern, then place, without benign ones."""
-    every = [as_spans(hits(text, p), p.category, k) for k, p in enumerate(PATTERNS) if categories is None or p.category in categories]
-    return F.filter(F.concat(*every), lambda s: ~benign(s["category"], s["value"], strict))
+    every = [as_spans(F.filter(found(text, p, strict), lambda h: ~h["drop"]), p.category, k) for k, p in chosen(categories)]
+    return F.concat(*every) if every else F.array().cast(f"array<{SPAN}>")
 
 
 def validated(spans: Column) -> Column:
@@ -104,16 +175,12 @@ def validated(spans: Column) -> Column:
 def occurrences(text: Column, value: Column, start: Column | int = 0) -> Column:
     """Starts of all occurrences of a literal value from a place on, none overlapping."""
     rest = F.substring(text, F.lit(start) + 1, F.char_length(text))
-    parts = F.split(F.replace(rest, value, F.lit("\x01")), "\x01")
     size = F.char_length(value)
-
-    def step(acc: Column, part: Column) -> Column:
-        at = acc["at"] + F.char_length(part)
-        return F.struct((at + size).alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
-
-    first = F.struct(F.lit(start).cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
-    places = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), first, step, lambda acc: acc["out"])
-    return F.when(size > 0, places).otherwise(F.array().cast("array<int>"))
+    parts = F.split(F.replace(rest, value, F.lit("\x01")), "\x01")
+    # each part but the last is followed by the value
+    steps = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.char_length(p) + size)
+    ends = let(steps, lambda s: F.zip_with(s, positions(s), lambda a, b: a + b))
+    return F.when(size > 0, F.transform(ends, lambda e: (e - size + F.lit(start)).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
 def chunks(text: Column, size: int, overlap: int) -> Column:

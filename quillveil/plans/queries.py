@@ -1,35 +1,17 @@
-"""The driver's queries of the privacy operators, and DuckDB SQL for the same rows."""
+"""Queries of detection, checks, merging and redaction, and SQL for the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import checks
+from ..functions import model_output as M
 from ..functions import resolve_category as R
 from ..functions import spans as S
-from ..operators import evaluate, merge
+from ..functions.patterns import PATTERNS
+from ..operators import evaluate, merge, ranks, redact
 from . import redaction
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import ORACLE, QUERIES, query, table
 
 _EMAIL = r"[A-Za-z0-9](?:[A-Za-z0-9_.+-]*[A-Za-z0-9])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9][0-9]|[0-9])"
@@ -41,7 +23,8 @@ def redact_email_category(spark, sf_dir):
 
 
 def _exploded(spark, sf_dir, name, text_col, id_col, category):
-    rows = table(spark, sf_dir, name).select(F.col(id_col), S.detect(S.clean(F.col(text_col)), [category]).alias("s"))
+    docs = redaction.spread(table(spark, sf_dir, name).select(id_col, S.clean(F.col(text_col)).alias("_t")))
+    rows = docs.select(F.col(id_col), S.detect(F.col("_t"), [category]).alias("s"))
     return rows.select(id_col, F.inline("s")).select(id_col, "start", "end", "value")
 
 
@@ -107,16 +90,20 @@ def chunk_windows(spark, sf_dir):
 
 
 def _span_rows(spark, sf_dir):
+    k, p = F.col("l_linenumber"), F.col("l_partkey")
     s = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("seq"), (F.col("l_linenumber") * 7 + F.col("l_partkey") % 13).cast("int").alias("start"),
-        (F.col("l_suppkey") % 9 + 1).cast("int").alias("n"), F.when(F.col("l_returnflag") == "N", "tfn").otherwise("name").alias("category"),
+        F.col("l_orderkey").alias("doc"), k.alias("seq"), (k * 7 + p % 13).cast("int").alias("start"), (F.col("l_suppkey") % 9 + 1).cast("int").alias("n"),
+        F.when(F.col("l_returnflag") == "N", "tfn").otherwise("name").alias("category"), F.concat(F.lit("v"), (p % 3).cast("string")).alias("value"),
+        F.when(p % 3 == 1, True).when(p % 3 == 2, False).alias("ok"), (k % 3 == 0).alias("review"),
     )
-    span = F.struct("category", "start", (F.col("start") + F.col("n")).alias("end"), F.lit("v").alias("value"), F.lit(1.0).alias("confidence"), F.lit(None).cast("boolean").alias("validator_passed"), F.lit(False).alias("needs_review"), F.col("seq").cast("int").alias("seq"))
+    span = F.struct("category", "start", (F.col("start") + F.col("n")).alias("end"), "value", F.lit(1.0).alias("confidence"), F.col("ok").alias("validator_passed"), F.col("review").alias("needs_review"), F.col("seq").cast("int").alias("seq"))
     grouped = s.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").alias("k"), span.alias("s")))).alias("a"))
     return grouped.select("doc", F.transform("a", lambda x: x["s"]).alias("spans"))
 
 
-_SPANS = "(SELECT l_orderkey AS doc, l_linenumber AS seq, (l_linenumber * 7 + l_partkey % 13)::INT AS start, (l_linenumber * 7 + l_partkey % 13 + l_suppkey % 9 + 1)::INT AS \"end\", CASE WHEN l_returnflag = 'N' THEN 'tfn' ELSE 'name' END AS category FROM lineitem)"
+_SPANS = """(SELECT l_orderkey AS doc, l_linenumber AS seq, (l_linenumber * 7 + l_partkey % 13)::INT AS start, (l_linenumber * 7 + l_partkey % 13 + l_suppkey % 9 + 1)::INT AS "end",
+CASE WHEN l_returnflag = 'N' THEN 'tfn' ELSE 'name' END AS category, 'v' || (l_partkey % 3) AS value, CASE l_partkey % 3 WHEN 1 THEN true WHEN 2 THEN false END AS ok, l_linenumber % 3 = 0 AS review FROM lineitem)"""
+_ORDERED = f"""o AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY start, "end" DESC, seq, category, value) AS i FROM {_SPANS})"""
 
 
 @query(f"""WITH o AS (SELECT *, max("end") OVER (PARTITION BY doc ORDER BY start, "end" DESC, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {_SPANS}),
@@ -126,12 +113,43 @@ def merge_union_bounds(spark, sf_dir):
     return _span_rows(spark, sf_dir).select("doc", F.inline(merge.union_merge(F.col("spans")))).select("doc", "start", "end")
 
 
+@query(f"""WITH RECURSIVE {_ORDERED},
+r AS (SELECT doc, i, start, "end", category, value, coalesce(ok, false) AS ok, review FROM o WHERE i = 1
+UNION ALL SELECT doc, i, CASE WHEN apart THEN s_start ELSE least(start, s_start) END, CASE WHEN apart THEN s_end ELSE greatest("end", s_end) END,
+  CASE WHEN apart OR takes THEN s_category ELSE category END,
+  CASE WHEN apart THEN s_value WHEN takes THEN CASE WHEN start < s_start OR "end" > s_end THEN NULL ELSE s_value END ELSE CASE WHEN s_end > "end" THEN NULL ELSE value END END,
+  CASE WHEN apart OR takes THEN s_ok ELSE ok END,
+  CASE WHEN apart THEN s_review WHEN takes THEN CASE WHEN start < s_start OR "end" > s_end THEN s_review OR review ELSE s_review END ELSE CASE WHEN s_end > "end" THEN s_review OR review ELSE review END END
+  FROM (SELECT *, s_end - s_start > "end" - start OR (s_end - s_start = "end" - start AND s_ok AND NOT ok) AS takes FROM (
+    SELECT o.doc, o.i, r.start, r."end", r.category, r.value, r.ok, r.review, o.start AS s_start, o."end" AS s_end, o.category AS s_category, o.value AS s_value, coalesce(o.ok, false) AS s_ok,
+    o.review AS s_review, o.start >= r."end" AS apart FROM o JOIN r ON o.doc = r.doc AND o.i = r.i + 1)))
+SELECT r.doc, r.start, r."end", r.category, r.value, r.review AS needs_review FROM r LEFT JOIN o ON o.doc = r.doc AND o.i = r.i + 1 WHERE o.start IS NULL OR o.start >= r."end\"""")
+def merge_union_spans(spark, sf_dir):
+    return _span_rows(spark, sf_dir).select("doc", F.inline(merge.union_merge(F.col("spans")))).select("doc", "start", "end", "category", "value", "needs_review")
+
+
+@query(f"""SELECT doc, start, "end", category, value, ok AS validator_passed, review AS needs_review, seq::INT AS seq FROM (
+SELECT *, row_number() OVER (PARTITION BY doc, start, "end", category ORDER BY seq, value) AS c FROM {_SPANS}) WHERE c = 1""")
+def distinct_span_rows(spark, sf_dir):
+    return _span_rows(spark, sf_dir).select("doc", F.inline(merge.distinct_spans(F.col("spans")))).select("doc", "start", "end", "category", "value", "validator_passed", "needs_review", "seq")
+
+
+@query(f"""WITH RECURSIVE {_ORDERED},
+r AS (SELECT doc, i, "end" AS reach, true AS kept, start, "end", category, value FROM o WHERE i = 1 UNION ALL
+SELECT o.doc, o.i, CASE WHEN o.start >= r.reach THEN o."end" ELSE r.reach END, o.start >= r.reach, o.start, o."end", o.category, o.value FROM o JOIN r ON o.doc = r.doc AND o.i = r.i + 1),
+k AS (SELECT * FROM r WHERE kept), f AS (SELECT *, min(i) OVER (PARTITION BY doc, category, value) AS first FROM k),
+n AS (SELECT *, dense_rank() OVER (PARTITION BY doc, category ORDER BY first) AS number FROM f)
+SELECT doc, start, '[REDACTED_' || upper(category) || '_' || printf('%03d', number) || ']' AS placeholder FROM n""")
+def placeholder_numbers(spark, sf_dir):
+    return _span_rows(spark, sf_dir).select("doc", F.inline(redact.with_placeholders(merge.greedy(F.col("spans"))))).select("doc", "start", "placeholder")
+
+
 @query(f"""SELECT doc, count(*) AS n FROM (SELECT DISTINCT doc, start, "end", category FROM {_SPANS}) GROUP BY doc""")
 def dedupe_spans(spark, sf_dir):
     return _span_rows(spark, sf_dir).select("doc", F.size(merge.distinct_spans(F.col("spans"))).cast("long").alias("n"))
 
 
-@query(f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY start, "end" DESC, seq) AS i FROM {_SPANS}),
+@query(f"""WITH RECURSIVE {_ORDERED},
 r AS (SELECT doc, i, "end" AS reach, true AS kept, start, "end" FROM o WHERE i = 1 UNION ALL
 SELECT o.doc, o.i, CASE WHEN o.start >= r.reach THEN o."end" ELSE r.reach END, o.start >= r.reach, o.start, o."end" FROM o JOIN r ON o.doc = r.doc AND o.i = r.i + 1)
 SELECT doc, start, "end" FROM r WHERE kept""")
@@ -146,20 +164,34 @@ def overlap_suppression(spark, sf_dir):
     return r.select("doc", F.inline(merge.without_overlap(found, have))).select("doc", "start", "end")
 
 
+@query(f"""SELECT doc, start, "end" FROM {_SPANS} a WHERE category = 'tfn' AND (NOT EXISTS (SELECT 1 FROM {_SPANS} b WHERE b.doc = a.doc AND b.seq <> a.seq AND a.start < b."end" AND b.start < a."end")
+OR EXISTS (SELECT 1 FROM {_SPANS} b WHERE b.doc = a.doc AND b.seq <> a.seq AND b.category = 'name' AND a.start < b."end" AND b.start < a."end"))""")
+def overlap_with_override(spark, sf_dir):
+    r = _span_rows(spark, sf_dir).select("doc", "spans", F.explode("spans").alias("s")).where("s.category = 'tfn'")
+    found, have = F.array("s"), F.filter("spans", lambda x: x["seq"] != F.col("s.seq"))
+    return r.select("doc", F.inline(merge.without_overlap(found, have, {"tfn": ["name"]}))).select("doc", "start", "end")
+
+
+@query(f"""SELECT doc, start, "end" FROM {_SPANS} a WHERE NOT EXISTS (SELECT 1 FROM {_SPANS} b WHERE b.doc = a.doc AND b.seq <> a.seq AND b.category = 'name' AND a.start < b."end" AND b.start < a."end")""")
+def overlap_by_category(spark, sf_dir):
+    r = _span_rows(spark, sf_dir).select("doc", "spans", F.explode("spans").alias("s"))
+    return r.select("doc", F.inline(merge.without_overlap(F.array("s"), F.filter("spans", lambda x: x["seq"] != F.col("s.seq")), only=["name"]))).select("doc", "start", "end")
+
+
 @query("SELECT p::DOUBLE AS p, list_sort(list(n_chars))[1 + CASE WHEN (p / 100.0 * (count(*) - 1)) % 1 = 0.5 THEN 2 * round(p / 200.0 * (count(*) - 1)) ELSE round(p / 100.0 * (count(*) - 1)) END::BIGINT] AS value FROM documents, (SELECT unnest([50, 90, 95, 99]) AS p) GROUP BY p")
 def percentile_nearest_rank(spark, sf_dir):
     return evaluate.nearest_rank(table(spark, sf_dir, "documents"), "n_chars", [50, 90, 95, 99])
 
 
 def _labels(spark, sf_dir):
-    """Labels of known values: each document's e-mail addresses, and its language's name, which isn't redacted."""
+    """Expected labels: each document's e-mail addresses, and the name of its source, which no pattern redacts; every other one isn't valid."""
     found = _exploded(spark, sf_dir, "documents", "text", "doc_id", "email").select(F.col("doc_id").alias("document_id"), F.lit("email").alias("category"), "value", F.lit(True).alias("valid"))
-    other = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit("name").alias("category"), F.left("text", F.lit(6)).alias("value"), (F.col("doc_id") % 2 == 0).alias("valid"))
+    other = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit("name").alias("category"), F.col("source").alias("value"), (F.col("doc_id") % 2 == 0).alias("valid"))
     return found.union(other)
 
 
 @query(f"""WITH r AS (SELECT doc_id, regexp_replace(text, '{_EMAIL}', '[REDACTED_EMAIL]', 'g') AS t FROM documents),
-l AS (SELECT doc_id, 'email' AS category, unnest(regexp_extract_all(text, '{_EMAIL}')) AS value FROM documents UNION ALL SELECT doc_id, 'name', left(text, 6) FROM documents WHERE doc_id % 2 = 0),
+l AS (SELECT doc_id, 'email' AS category, unnest(regexp_extract_all(text, '{_EMAIL}')) AS value FROM documents UNION ALL SELECT doc_id, 'name', source FROM documents WHERE doc_id % 2 = 0),
 c AS (SELECT category, contains(t, value) AS leaked FROM l JOIN r USING (doc_id) WHERE value <> '')
 SELECT category, count(*) FILTER (leaked) AS leaks, count(*) AS checked, (count(*) - count(*) FILTER (leaked)) / count(*)::DOUBLE AS sensitivity FROM c GROUP BY ROLLUP (category)""")
 def leak_rollup(spark, sf_dir):
@@ -169,45 +201,149 @@ def leak_rollup(spark, sf_dir):
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_anti_join(spark, sf_dir):
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id", "source")
+    return ranks.left_over(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source")
 
 
 @query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 25 AS batch FROM labels")
 def fixed_batches(spark, sf_dir):
-    return table(spark, sf_dir, "labels").select("doc_id", F.floor((F.row_number().over(Window.orderBy("doc_id")) - 1) / 25).alias("batch"))
+    return ranks.batches(table(spark, sf_dir, "labels").select("doc_id"), ["doc_id"], 25)
 
 
 @query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10")
 def top_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(10).select("doc_id", "n_chars")
+    return ranks.largest(table(spark, sf_dir, "documents"), "n_chars", 10, ["doc_id"]).select("doc_id", "n_chars")
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 50")
+def first_documents(spark, sf_dir):
+    return ranks.first_rows(table(spark, sf_dir, "documents"), ["doc_id"], 50).select("doc_id", "source")
+
+
+@query("SELECT page_id, 'DOC-' || printf('%06d', row_number() OVER (ORDER BY url, page_id)) AS source_id FROM pages")
+def ordinal_ids(spark, sf_dir):
+    r = ranks.ranked(table(spark, sf_dir, "pages").select("page_id", "url"), ["url", "page_id"])
+    return r.select("page_id", F.concat(F.lit("DOC"), F.format_string("-%06d", F.col("place") + 1)).alias("source_id"))
+
+
+@query("SELECT to_json(map_from_entries(list(struct_pack(k := lang, v := n) ORDER BY lang))) AS counts FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)")
+def sorted_counts(spark, sf_dir):
+    return ranks.sorted_map(table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n")), "lang", "n").select(F.to_json("counts").alias("counts"))
 
 
 @query("SELECT event_id, replace(replace(lower(trim(list_extract(string_split('PIICategory. ' || event_type || ' Number', '.'), -1))), ' ', '_'), '-', '_') AS category FROM events")
 def category_names(spark, sf_dir):
     raw = F.concat(F.lit("PIICategory. "), F.col("event_type"), F.lit(" Number"))
-    return table(spark, sf_dir, "events").select("event_id", F.translate(F.lower(F.trim(F.substring_index(raw, ".", -1))), " -", "__").alias("category"))
+    return table(spark, sf_dir, "events").select("event_id", M.category_name(raw).alias("category"))
+
+
+def _counts(spark, sf_dir, categories=None):
+    """Hits by category: a sum for each pattern over the scan, without offsets and without a row for each hit."""
+    docs = redaction.spread(table(spark, sf_dir, "documents").select(S.clean(F.col("text")).alias("_t")))
+    chosen = S.chosen(categories)
+    some = docs.select(*[F.coalesce(F.size(F.filter(S.cuts(F.col("_t"), p), lambda c: (c["n"] >= 0) & ~c["drop"])), F.lit(0)).alias(p.category) for _, p in chosen])
+    total = some.agg(*[F.sum(p.category).alias(p.category) for _, p in chosen])
+    return total.select(F.explode(F.array(*[F.struct(F.lit(p.category).alias("category"), F.col(p.category).alias("n")) for _, p in chosen])).alias("r")).select("r.*").where("n > 0")
 
 
 @query()
 def pii_counts_by_category(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select(S.detect(S.clean(F.col("text"))).alias("s"))
-    return found.select(F.explode(F.transform("s", lambda x: x["category"])).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+    return _counts(spark, sf_dir)
+
+
+_B = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_GAP = r"(?:\x03(?:" + _B + r"|-)\x02)?"
+#: the patterns' shapes in a dialect without lookaround: over digit runs, then over word runs, between U+0002 and U+0003; then over the plain text
+_OVER_DIGITS = {
+    "abn": ["[0-9]{2}", "[0-9]{3}", "[0-9]{3}", "[0-9]{3}"], "tfn": ["[0-9]{3}", "[0-9]{3}", "[0-9]{2,3}"], "acn": ["[0-9]{3}"] * 3,
+    "medicare": ["[0-9]{4}", "[0-9]{5}", "[0-9](?:" + _GAP + "[0-9])?"], "bsb_account": ["[0-9]{3}"] * 2,
+}
+_OVER_WORDS = {"passport": "[A-Z]{1,2}[0-9]{7}", "driver_licence": "[A-Z]{0,2}[0-9]{6,9}", "centrelink_crn": "[0-9]{9}[A-Z]"}
+_PLAIN = {p.category: p.regex for p in PATTERNS if p.category in ("patient_id", "medical_record_number", "healthcare_identifier", "name", "address")}
+
+
+def _re2(regex: str) -> str:
+    """A Java pattern without lookaround as RE2 takes it."""
+    from ..functions.patterns import BLANK
+
+    return regex.replace(BLANK, _B).replace(r"\p{Nd}", "[0-9]").replace(r"(?U:\b)", r"\b").replace("'", "''")
+
+
+_SHAPE_COUNTS = ", ".join(
+    [rf"len(regexp_extract_all(d, '\x02{_GAP.join(x)}\x03')) AS {c}" for c, x in _OVER_DIGITS.items()] + [rf"len(regexp_extract_all(w, '\x02{x}\x03')) AS {c}" for c, x in _OVER_WORDS.items()]
+    + [f"len(regexp_extract_all(text, '{_re2(x)}')) AS {c}" for c, x in _PLAIN.items()] + [f"len(regexp_extract_all(text, '{_EMAIL}')) AS email", rf"len(regexp_extract_all(text, '\b(?:{_OCTET}\.){{3}}{_OCTET}\b')) AS ip_address"]
+)
+_SHAPED = [*_OVER_DIGITS, *_OVER_WORDS, *_PLAIN, "email", "ip_address"]
+
+
+@query(rf"""WITH m AS (SELECT text, regexp_replace(text, '([0-9]+)', chr(2) || '\1' || chr(3), 'g') AS d, regexp_replace(text, '([\pL\pN_]+)', chr(2) || '\1' || chr(3), 'g') AS w FROM documents),
+c AS (SELECT {_SHAPE_COUNTS} FROM m), s AS (SELECT {", ".join(f"sum({c})::BIGINT AS {c}" for c in _SHAPED)} FROM c)
+SELECT category, n FROM (UNPIVOT s ON {", ".join(_SHAPED)} INTO NAME category VALUE n) WHERE n > 0""")
+def shape_counts(spark, sf_dir):
+    return _counts(spark, sf_dir, _SHAPED)
 
 
 @query()
 def redact_numbered(spark, sf_dir):
-    out = redaction.redact_table(table(spark, sf_dir, "documents"))
-    return out.select("document_id", "redacted_text", "pii_count", "needs_review")
+    return redaction.redact_table(table(spark, sf_dir, "documents")).select("document_id", "redacted_text", "pii_count", "needs_review")
+
+
+@query(f"""WITH e AS (SELECT doc_id, regexp_split_to_array(text, '{_EMAIL}') AS parts, regexp_extract_all(text, '{_EMAIL}') AS found FROM documents),
+u AS (SELECT *, list_filter(found, lambda x, i: list_position(found, x) = i) AS firsts FROM e)
+SELECT doc_id AS document_id, array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || CASE WHEN i > len(found) THEN '' ELSE '[REDACTED_EMAIL_' || printf('%03d', list_position(firsts, found[i])) || ']' END), '') AS redacted_text,
+len(found)::INT AS pii_count FROM u""")
+def redact_email_numbered(spark, sf_dir):
+    return redaction.redact_table(table(spark, sf_dir, "documents"), categories=["email"]).select("document_id", "redacted_text", "pii_count")
+
+
+_TFN_HITS = rf"""(SELECT doc_id, list_transform(regexp_extract_all(regexp_replace(text, '([0-9]+)', chr(2) || '\1' || chr(3), 'g'), '\x02{_GAP.join(_OVER_DIGITS["tfn"])}\x03'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS ids FROM documents)"""
+_TFN_OK = f"CASE length(x) WHEN 9 THEN {_sum('x', checks.TFN_9)} WHEN 8 THEN {_sum('x', checks.TFN_8)} END % 11 = 0 AND regexp_matches(x, '[1-9]')"
+
+
+@query(f"""SELECT doc_id::VARCHAR AS source_id, sha256('kg_rag_default|' || doc_id) AS redaction_audit_id, len(ids)::INT AS pii_count, CASE WHEN len(ids) > 0 THEN ['tfn'] ELSE []::VARCHAR[] END AS pii_categories,
+'kg_rag_default' AS redaction_policy, 'regex' AS model_used, bad AS needs_review, CASE WHEN bad THEN 'review' ELSE 'pass' END AS gate_status
+FROM (SELECT *, len(list_filter(ids, lambda x: NOT ({_TFN_OK}))) > 0 AS bad FROM {_TFN_HITS})""")
+def manifest_of_tfn(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return redaction.manifest(redaction.redact_table(docs, categories=["tfn"], propagate=False, texts=False), "kg_rag_default")
+
+
+@query(f"""SELECT CASE WHEN count(*) = 0 THEN 'FAIL' WHEN count(*) FILTER (bad) > 0 THEN 'REVIEW' ELSE 'PASS' END AS status, count(*) AS documents_processed, count(*) FILTER (bad) AS needs_review_documents,
+coalesce(sum(len(ids)), 0)::BIGINT AS pii_count_total, CASE WHEN sum(len(ids)) > 0 THEN ['tfn'] ELSE []::VARCHAR[] END AS pii_categories
+FROM (SELECT *, len(list_filter(ids, lambda x: NOT ({_TFN_OK}))) > 0 AS bad FROM {_TFN_HITS})""")
+def gate_of_tfn(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return redaction.gate(redaction.manifest(redaction.redact_table(docs, categories=["tfn"], propagate=False, texts=False), "kg_rag_default"))
+
+
+@query(f"""SELECT doc_id, value, ((length(text) - length(replace(text, value, ''))) // length(value))::INT AS places FROM (SELECT DISTINCT doc_id, text, unnest(regexp_extract_all(text, '{_EMAIL}')) AS value FROM documents)""")
+def value_occurrences(spark, sf_dir):
+    found = _exploded(spark, sf_dir, "documents", "text", "doc_id", "email").select("doc_id", "value").distinct()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return found.join(docs, "doc_id").select("doc_id", "value", F.size(S.occurrences(F.col("text"), F.col("value"))).alias("places"))
+
+
+@query(f"""WITH e AS (SELECT doc_id, text, regexp_split_to_array(text, '{_EMAIL}') AS parts, regexp_extract_all(text, '{_EMAIL}') AS found FROM documents WHERE text LIKE '%@%')
+SELECT doc_id, text AS joined, (len(list_filter(parts, lambda x: x <> '')) + len(found))::INT AS runs, len(found)::INT AS labelled FROM e""")
+def highlight_segments(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text like '%@%'").select("doc_id", S.clean(F.col("text")).alias("_t"))
+    runs = redact.segments(F.col("_t"), merge.union_merge(S.detect(F.col("_t"), ["email"])))
+    s = docs.select("doc_id", runs.alias("s"))
+    return s.select("doc_id", F.array_join(F.transform("s", lambda x: x["text"]), "").alias("joined"), F.size("s").alias("runs"), F.size(F.filter("s", lambda x: x["category"].isNotNull())).alias("labelled"))
 
 
 @query()
 def manifest_rows(spark, sf_dir):
-    return redaction.manifest(redaction.redact_table(table(spark, sf_dir, "documents")), "kg_rag_default")
+    return redaction.manifest(redaction.redact_table(table(spark, sf_dir, "documents"), texts=False), "kg_rag_default")
 
 
 @query()
 def gate_summary(spark, sf_dir):
-    return redaction.gate(redaction.manifest(redaction.redact_table(table(spark, sf_dir, "documents")), "kg_rag_default"))
+    return redaction.gate(redaction.manifest(redaction.redact_table(table(spark, sf_dir, "documents"), texts=False), "kg_rag_default"))
+
+
+@query("SELECT doc_id AS document_id, 'text has ' || length(text) || ' characters, more than 10000' AS error FROM documents WHERE length(text) > 10000")
+def oversized_documents(spark, sf_dir):
+    return redaction.oversized(table(spark, sf_dir, "documents"), redaction.policy("kg_rag_default", max_text_chars=10_000))
 
 
 _PLACES = "(SELECT c_custkey AS k, CASE c_custkey % 6 WHEN 0 THEN c_name || ' Collins Street' WHEN 1 THEN 'GPO Box ' || c_custkey WHEN 2 THEN 'Perth WA' WHEN 3 THEN 'Suburb 3000' WHEN 4 THEN 'Greater Sydney' ELSE '' END AS v FROM customer)"
@@ -240,3 +376,6 @@ def model_gate(spark, sf_dir):
 @query()
 def redact_priority(spark, sf_dir):
     return redaction.redact_table(table(spark, sf_dir, "documents"), priority=True).select("document_id", "redacted_text", "pii_count", "needs_review")
+
+
+from . import queries_evaluate, queries_models, queries_recognise  # noqa: E402, F401  they add their own

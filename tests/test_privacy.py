@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,6 @@ from quillveil.functions import spans as S
 from quillveil.functions.patterns import CATEGORIES, PATTERNS
 from quillveil.operators import audit, evaluate, merge, redact, resolve
 from quillveil.plans import redaction
-from quillveil.sources import readers
 
 GOOD = {
     "tfn": ["123 456 782", "876 543 210"], "abn": ["33 051 775 556", "51 824 753 556"], "acn": ["051 775 556", "004 085 616"],
@@ -56,6 +56,138 @@ SHORTEST = {
 }
 
 
+def test_every_blank_digit_and_strict_mode(spark):
+    for blank in "\u00a0\u2003\u202f\u3000\x1c\x85\t":
+        text = f"ABN 51{blank}824{blank}753{blank}556 TFN 123{blank}456{blank}782 call 0412{blank}345{blank}678"
+        got = {(s["category"], s["value"]) for s in spark.createDataFrame([(text,)], "t string").select(F.inline(S.detect(S.clean(F.col("t"))))).collect()}
+        for c, v in (("abn", "51 824 753 556"), ("tfn", "123 456 782"), ("phone", "0412 345 678")):
+            assert (c, v.replace(" ", blank)) in got, (blank, c)
+    arabic = "TFN \u0661\u0662\u0663 \u0664\u0665\u0666 \u0667\u0668\u0662"
+    got = spark.createDataFrame([(arabic,)], "t string").select(F.inline(S.validated(S.detect(S.clean(F.col("t")), ["tfn"])))).first()
+    assert got["value"] == arabic[4:] and got["validator_passed"]
+    users = "username: alice99 and bobby77 then ...carla88... and jo.smith"
+    for strict, want in ((False, {"alice99", "bobby77", "carla88", "jo.smith"}), (True, {"alice99", "carla88", "jo.smith"})):
+        got = spark.createDataFrame([(users,)], "t string").select(F.inline(S.detect(S.clean(F.col("t")), ["username"], strict))).collect()
+        assert {s["value"] for s in got} == want
+        out = redaction.redact_table(spark.createDataFrame([(1, users)], "doc_id long, text string"), settings=redaction.policy("logs_low_noise" if strict else "kg_rag_default"), categories=["username"], keep_values=True).first()
+        assert {s["value"] for s in out["spans"]} == want
+
+
+def _python(regex):
+    """A Java pattern of ours for Python's re: flags for a group are spelt out, and blanks, digits and word bounds are Unicode's there anyway."""
+    from quillveil.functions.patterns import BLANK
+
+    plain = regex.replace(BLANK, r"\s").replace(r"\p{Nd}", r"\d").replace(r"(?U:\b)", r"\b")
+    return re.compile(re.sub(r"\[([^]]*)\[?\\s\]?", r"[\1\\s", plain) if "[\\s" in plain else plain.replace("(?U:", "(?:"))
+
+
+def _by_hand(text):
+    """(category, start, end, value) of all hits, by Python's own matcher."""
+    from quillveil.functions.patterns import BENIGN_NAME, BENIGN_TOKENS, RESERVED_HOSTS
+
+    out = []
+    for p in PATTERNS:
+        for m in _python(p.regex.replace("(?U:", "(?:")).finditer(text):
+            k = next((k for k in range(2, (m.re.groups or 1) + 1) if m.group(k)), None)
+            if k is None:
+                continue
+            v = m.group(k).strip().rstrip(".,;:)")
+            low = v.lower()
+            if p.category == "username" and (low in BENIGN_TOKENS or re.match(BENIGN_NAME.replace(r"\p{Nd}", r"\d"), v)) or p.category == "generic_id" and re.fullmatch("[A-Z]{4}[0-9]{4}", v):
+                continue
+            if p.category == "url" and (low == "localhost" or low.endswith(tuple(RESERVED_HOSTS))):
+                continue
+            out.append((p.category, m.start(k), m.end(k), m.group(k)))
+    return out
+
+
+def _texts(spark, n=60):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null").orderBy("doc_id").limit(n)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    extra = [TEXT, "Bad TFN: 999 999 999, ok 123 456 782; 062-000.1 PA1234567 jo_smith1 @handle AB:12345 A 12 12 12 A", " ".join(f"u{k}@x{k}.org 12/0{k % 9}/2024 id: ZX-{k}" for k in range(300)), "", "\x01\x02\x03 a@b.co"]
+    return rows + [(10**9 + k, t) for k, t in enumerate(extra)]
+
+
+def test_detection_and_redaction_equal_plain_python(spark):
+    """The whole plan against a slow one that shares no code with it but the patterns."""
+    rows = _texts(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hits = {r["doc_id"]: [tuple(x) for x in r["h"]] for r in docs.select("doc_id", F.transform(S.detect(S.clean(F.col("text"))), lambda s: F.struct(s["category"], s["start"], s["end"], s["value"])).alias("h")).collect()}
+    got = {r["document_id"]: r for r in redaction.redact_table(docs, keep_values=True).collect()}
+    for i, text in rows:
+        text = re.sub("[\x01-\x03]", "\ufffd", text)
+        want = _by_hand(text)
+        assert hits[i] == want, i
+        every, seen = [], set()
+        for c, a, b, v in want:
+            every.append((c, a, b, v))
+        for c, a, b, v in want:  # every window is read by itself
+            size, step = redaction.CHUNK[0], redaction.CHUNK[0] - redaction.CHUNK[1]
+            windows = [0] if len(text) <= size else [w for w in range(0, len(text), step) if w <= a and b <= w + size]
+            if windows and (c, v) not in seen:
+                seen.add((c, v))
+                w = min(min([0] if len(text) <= size else [w for w in range(0, len(text), step) if w <= x and y <= w + size] or [10**9]) for d, x, y, u in want if (d, u) == (c, v))
+                every += [(c, m.start(), m.end(), v) for m in re.finditer(re.escape(v), text) if m.start() >= w] if w < 10**9 else []
+        merged = []
+        for c, a, b, v in sorted(every, key=lambda s: (s[1], s[1] - s[2])):
+            ok = _check(c, v)
+            s = dict(category=c, start=a, end=b, value=v, ok=ok, review=ok is False)
+            if merged and a < merged[-1]["end"]:
+                last = merged[-1]
+                win = s if b - a > last["end"] - last["start"] or b - a == last["end"] - last["start"] and ok and not last["ok"] else last
+                lo, hi = min(a, last["start"]), max(b, last["end"])
+                new = dict(win)
+                if (lo, hi) != (win["start"], win["end"]):
+                    new |= dict(value=None, review=s["review"] or last["review"])
+                merged[-1] = new | dict(start=lo, end=hi)
+            else:
+                merged.append(s)
+        assert [(s["category"], s["start"], s["end"], s["value"], s["needs_review"]) for s in got[i]["spans"]] == [(s["category"], s["start"], s["end"], s["value"], s["review"]) for s in merged], i
+        numbers, out, at = {}, "", 0
+        for s in merged:
+            if s["value"] is None:
+                p = f"[REDACTED_{s['category'].upper()}]"
+            else:
+                own = numbers.setdefault(s["category"], [])
+                if s["value"] not in own:
+                    own.append(s["value"])
+                p = f"[REDACTED_{s['category'].upper()}_{own.index(s['value']) + 1:03d}]"
+            out += text[at : s["start"]] + p
+            at = s["end"]
+        assert got[i]["redacted_text"] == out + text[at:], i
+
+
+def _check(category, value):
+    d = [int(c) for c in value if c.isdigit()]
+    if category not in ("tfn", "abn", "acn", "medicare", "bsb_account"):
+        return None
+    if not any(d) and category != "bsb_account":
+        return False
+    total = lambda w: sum(x * y for x, y in zip(d, w))
+    if category == "tfn":
+        return len(d) in (8, 9) and total(checks.TFN_9 if len(d) == 9 else checks.TFN_8) % 11 == 0
+    if category == "abn":
+        return len(d) == 11 and (total(checks.ABN) - 10) % 89 == 0
+    if category == "acn":
+        return len(d) == 9 and (10 - total(checks.ACN) % 10) % 10 == d[8]
+    if category == "medicare":
+        return len(d) in (10, 11) and total(checks.MEDICARE) % 10 == d[8]
+    return len(d) == 6
+
+
+def test_many_hits_stay_linear(spark):
+    import time
+
+    took = []
+    for n in (3000, 12000):
+        docs = spark.createDataFrame([(1, " ".join(f"u{k}@x.org" for k in range(n)))], "doc_id long, text string")
+        docs.select(F.size(S.detect(S.clean(F.col("text")), ["email"]))).collect()
+        began = time.time()
+        assert docs.select(F.size(S.detect(S.clean(F.col("text")), ["email"]))).first()[0] == n
+        took.append(time.time() - began)
+    assert took[1] < 10 * took[0] + 1
+
+
 def test_prefilters_are_necessary(spark):
     assert set(SHORTEST) == set(CATEGORIES)
     for p in PATTERNS:
@@ -89,7 +221,8 @@ def test_union_merge_covers_and_agrees(spark):
     df = spark.createDataFrame(groups, f"k int, s array<{S.SPAN}>")
     got = {r["k"]: [x.asDict() for x in r["m"]] for r in df.select("k", merge.union_merge(F.col("s")).alias("m")).collect()}
     for k, spans in groups:
-        assert got[k] == resolve.union(spans)
+        plain = [resolve.Span(*(s[f] for f in resolve.Span._fields)) for s in spans]
+        assert [{f: v for f, v in s.items() if f != "seq"} for s in got[k]] == [s._asdict() for s in resolve.union(plain)]
         covered = {p for s in spans for p in range(s["start"], s["end"])}
         assert {p for s in got[k] for p in range(s["start"], s["end"])} == covered
         assert all(a["end"] <= b["start"] for a, b in zip(got[k], got[k][1:]))
@@ -125,7 +258,7 @@ def test_chunks_and_occurrences(spark):
     assert spark.createDataFrame([("aaXaaaX",)], "t string").select(S.occurrences(F.col("t"), F.lit("aa"))).first()[0] == [0, 3]
 
 
-def test_audit_round_trip(spark):
+def test_audit_round_trip(spark, tmp_path):
     docs = spark.createDataFrame([(1, "mail a@b.org")], "doc_id long, text string")
     key = "0123456789abcdef"
     log = audit.audit_rows(redaction.redact_table(docs, keep_values=True), "run", key)
@@ -133,8 +266,17 @@ def test_audit_round_trip(spark):
     assert row["span_start"] == -1 and "a@b.org" not in str(row.asDict())
     assert audit.reidentify(log, row["audit_id"], key).first()["value"] == "a@b.org"
     assert audit.purge(log, log.select("audit_id")).count() == 0
-    lines = spark.createDataFrame([('{"audit_id":"x1"}',), ("broken x1",), ("broken",), ('{"audit_id":"y"}',)], "value string")
-    assert {r[0] for r in audit.purge_lines(lines, spark.createDataFrame([("x1",)], "audit_id string")).collect()} == {"broken", '{"audit_id":"y"}'}
+    with pytest.raises(RuntimeError):
+        audit.reidentify(log, row["audit_id"], None)
+    assert audit.audit_rows(redaction.redact_table(docs), "run", key, enabled=False).count() == 0 and audit.audit_ids(redaction.redact_table(docs), "run").first()["audit_id"] == row["audit_id"]
+    log.write.mode("overwrite").json(str(tmp_path / "log"))
+    audit.append(log, str(tmp_path / "log"))
+    read = spark.read.text(str(tmp_path / "log"))
+    assert read.count() == 2 and audit.reidentify_lines(read, row["audit_id"], key).first()["value"] == "a@b.org"
+    with pytest.raises(Exception, match="can't be read"):
+        audit.reidentify_lines(read.union(spark.createDataFrame([("{oops",)], "value string")), row["audit_id"], key).collect()
+    lines = spark.createDataFrame([('{"audit_id":"x1"}',), ("broken x1",), ("brokenx1y",), ("broken",), ('{"audit_id":"y"}',), (None,)], "value string")
+    assert {r[0] for r in audit.purge_lines(lines, spark.createDataFrame([("x1",)], "audit_id string")).collect()} == {"broken", '{"audit_id":"y"}', None}
 
 
 def test_percentiles(spark):
@@ -144,15 +286,6 @@ def test_percentiles(spark):
         assert got == {float(p): vals[round(p / 100 * (n - 1))] for p in (50, 90, 99)}
 
 
-def test_token_labels_and_folder(spark, tmp_path):
-    rec = spark.createDataFrame([("d", ["Hi", "Ann", "Lee", ",", "x@y.z"], [True, True, False, True, False], ["O", "B-NAME", "I-NAME", "O", "B-EMAIL"])], "document string, tokens array<string>, trailing_whitespace array<boolean>, labels array<string>")
-    assert {tuple(r) for r in readers.token_labels(rec).collect()} == {("d", "NAME", "Ann Lee"), ("d", "EMAIL", "x@y.z")}
-    (tmp_path / "a.txt").write_bytes(b"ok \xff")
-    (tmp_path / "b.bin").write_bytes(b"no")
-    got = readers.with_source_ids(readers.read_folder(spark, str(tmp_path)), "DOC").collect()
-    assert [(r["text"], r["source_id"]) for r in got] == [("ok �", "DOC-000001")]
-
-
 def test_stream_equals_batch(spark, tmp_path):
     from quillveil.streaming.ingest import read_stream, redact_stream
 
@@ -163,20 +296,34 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).select("document_id", "redacted_text").exceptAll(want).count() == 0
 
 
-def _span(c, a, b, ok=None, review=False):
-    return dict(category=c, start=a, end=b, value=None, confidence=1.0, validator_passed=ok, needs_review=review, seq=0)
+def _span(c, a, b, ok=None, review=False, confidence=1.0):
+    return resolve.Span(c, a, b, None, confidence, ok, review)
 
 
 def test_priority_merge():
     text = "062-000. 999999999 PA1234567"
-    got = resolve.by_priority(text, [_span("generic_id", 0, 8), _span("bsb_account", 0, 7, True)])
-    assert [(s["category"], s["end"]) for s in got] == [("bsb_account", 7)]
-    got = resolve.by_priority(text, [_span("generic_id", 9, 18), _span("bsb_account", 9, 15, True)])
-    assert [(s["category"], s["end"]) for s in got] == [("generic_id", 18)]
-    got = resolve.by_priority(text, [_span("tfn", 9, 18, False, True), _span("acn", 9, 18, True)])
-    assert [(s["category"], s["needs_review"]) for s in got] == [("acn", False)]
-    got = resolve.by_priority(text, [_span("username", 19, 28), _span("passport", 19, 28), _span("passport", 19, 28, None, True)])
-    assert [(s["category"], s["needs_review"]) for s in got] == [("passport", True)]
+
+    def got(*spans):
+        return [(s.category, s.start, s.end, s.needs_review) for s in resolve.by_priority(text, list(spans))]
+
+    # a passed check of a regulated category beats a generic span that has only punctuation beyond it, in either order
+    for pair in ([_span("generic_id", 0, 8), _span("bsb_account", 0, 7, True)], [_span("bsb_account", 0, 7, True), _span("generic_id", 0, 8)]):
+        assert got(*pair) == [("bsb_account", 0, 7, False)]
+    assert got(_span("generic_id", 9, 18), _span("bsb_account", 9, 15, True)) == [("generic_id", 9, 18, False)]
+    # on one range: passed, then regulated, then specific; the loser's need of review goes with it
+    assert got(_span("tfn", 9, 18, False, True), _span("acn", 9, 18, True)) == [("acn", 9, 18, False)]
+    assert got(_span("username", 19, 28), _span("passport", 19, 28), _span("passport", 19, 28, None, True)) == [("passport", 19, 28, True)]
+    assert got(_span("name", 19, 28), _span("username", 19, 28)) == [("username", 19, 28, False)]
+    assert got(_span("date", 19, 28), _span("email", 19, 28)) == [("date", 19, 28, False)]
+    # elsewhere the longer one, then the passed one, then the earlier; the need of review passes on
+    assert got(_span("date", 9, 14, None, True), _span("email", 12, 18)) == [("email", 12, 18, True)]
+    assert got(_span("date", 9, 14), _span("acn", 12, 17, True)) == [("acn", 12, 17, False)]
+    assert got(_span("date", 9, 14), _span("email", 12, 17)) == [("date", 9, 14, False)]
+    assert got(_span("date", 0, 3), _span("email", 3, 7)) == [("date", 0, 3, False), ("email", 3, 7, False)]
+    kept = resolve.by_priority(text, [_span("date", 9, 14), _span("email", 12, 18)], keep_cover=True)
+    assert [(s.category, s.start, s.end, s.value) for s in kept] == [("email", 9, 18, None)]
+    one = resolve.one_of_each([_span("tfn", 0, 3), _span("date", 0, 3), _span("tfn", 0, 3, False, True, 0.5), _span("tfn", 0, 3, True, False, 0.9)])
+    assert one == [_span("tfn", 0, 3, False, True, 0.5), _span("date", 0, 3)] and resolve.by_priority("", []) == []
 
 
 def test_gate_and_labels(spark):
