@@ -114,13 +114,6 @@ def test_narrative_adapter():
 KNOWN = Gazetteers(["Blue Gum Bank"], {"BGB": "Blue Gum Bank"}, {"Glebe": {"NSW"}}, {"2037": {("Glebe", "NSW")}})
 
 
-class Fails:
-    name = "fails"
-
-    def predict(self, text):
-        raise RuntimeError("no memory")
-
-
 def test_hybrid(spark):
     texts = [
         (1, "Jane Citizen at Blue Gum Bank, Glebe 2037"), (2, "account 999 999 999 TFN: 123 456 789"), (3, None), (4, ""), (5, "Jane Citizen, jane@x.org"), (6, "the patient Jane Citizen wrote"),
@@ -141,6 +134,12 @@ def test_hybrid(spark):
     # a shape has no check to pass, so the model's longer span wins
     assert got[8]["redacted_text"] == "[REDACTED_GENERIC_ID] and [REDACTED_BSB_ACCOUNT]."
     # a model that fails leaves what patterns find
+    class Fails:
+        name = "fails"
+
+        def predict(self, text):
+            raise RuntimeError("no memory")
+
     floor = run(Fails())
     assert floor[5]["redacted_text"] == "Jane Citizen, [REDACTED_EMAIL]" and floor[1]["redacted_text"].endswith("[REDACTED_LOCATION]")
     bare = run(ner, use_patterns=False)
