@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import ranks
 from ..ship import ship
 
 #: rows of a hot-key table, and so the bound of what is broadcast for it
@@ -79,10 +80,13 @@ class Scratch:
         for t in tables:
             at = self.paths.pop(id(t), None)
             if at:
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+                self.remove(at)
         self.release()
 
+    def remove(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
     def release(self) -> None:
         """Let Spark remove the shuffle files of plans that nothing refers to any more."""
         gc.collect()
@@ -179,28 +183,13 @@ def ordered(df: DataFrame, groups: list[str], order: list[str], scratch: Scratch
     second table has a row per group and stretch: `_first` and `_n`, the first
     place and the rows there.
     """
-    n = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = scratch.keep(
-        df.repartitionByRange(n, *groups, *order)
-        .sortWithinPartitions(*groups, *order)
-        .select("*", F.spark_partition_id().alias("_part"), (F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("_row"))
-    )
+    rows = scratch.keep(ranks.dealt(df, order, groups))
     return rows, rows.groupBy("_part", *groups).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
 
 
 def ranked(df: DataFrame, groups: list[str], order: list[str], name: str, scratch: Scratch) -> DataFrame:
     """df with each row's place in its group, from 0 and without gaps, in a column `name`."""
-    from pyspark.sql import Window
-
-    rows, parts = ordered(df, groups, order, scratch)
-    w = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # a row per group and stretch: no more than stretches + groups
-    starts = parts.select("_part", *[F.col(g).alias(f"_g_{g}") for g in groups], "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    on = [rows["_part"] == starts["_part"], *[rows[g].eqNullSafe(starts[f"_g_{g}"]) for g in groups]]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return rows.join(starts, cond).select(*df.columns, (F.col("_row") - F.col("_first") + F.col("_before")).cast("long").alias(name))
+    return ranks.ranked(df, order, name, groups, cut=scratch.keep)
 
 
 def heaviest(df: DataFrame, weight: str, limit: int) -> DataFrame:

@@ -8,7 +8,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ranked
+from .common import ROW_KEY, Scratch, ranked, row_keyed
 
 #: size classes to an octave of row size; a block is the rows of one old shard and size class
 CLASSES_PER_OCTAVE = 2
@@ -108,22 +108,26 @@ def plan_transfers(blocks: list[tuple[int, int, int, int]], shards: int) -> list
     return out
 
 
-def sized(docs: DataFrame, old_shard, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, old_shard, kind): size is the text's UTF-8 bytes and 8."""
+def sized(docs: DataFrame, old_shard, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
+    """(doc_id, size, text_crc32, old_shard, kind), and columns to keep: size is the text's UTF-8 bytes and 8."""
     size = (F.coalesce(F.octet_length(text_col), F.lit(0)) + 8).cast("long")
     return docs.select(
-        F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
-        old_shard.cast("int").alias("old_shard"), F.floor(F.log2(size) * CLASSES_PER_OCTAVE).cast("int").alias("kind"),
+        F.col(id_col).alias("doc_id"), size.alias("size"), text_crc(text_col).alias("text_crc32"), old_shard.cast("int").alias("old_shard"),
+        F.floor(F.log2(size) * CLASSES_PER_OCTAVE).cast("int").alias("kind"), *keep,
     )
 
 
-def reshard(docs: DataFrame, old_shard, shards: int, scratch: Scratch) -> DataFrame:
+def text_crc(text_col: str):
+    return F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+
+
+def reshard(docs: DataFrame, old_shard, shards: int, scratch: Scratch, keep: list[str] = ()) -> DataFrame:
     """New shard and slot of every row, by the flow that moves the fewest bytes.
 
     old_shard: expression for the shard that holds a row now (an old shard
     without a number among the new ones empties; null counts as -1).  New shards
     hold equally many rows, at most one apart.  Returns doc_id, size,
-    text_crc32, old_shard, shard, slot (0 up to the shard's rows, no gaps).
+    text_crc32, old_shard, shard, slot (0 up to the shard's rows, no gaps), and the columns to keep, which also settle ties.
     Null and empty texts have size 8; rows that repeat are dealt as rows of
     their own; null ids sort first; an empty table gives an empty one; other
     columns aren't read.
@@ -133,28 +137,57 @@ def reshard(docs: DataFrame, old_shard, shards: int, scratch: Scratch) -> DataFr
     shard nor a new one is gathered in a task.
     """
     spark: SparkSession = scratch.spark
-    rows = scratch.keep(sized(docs, F.coalesce(old_shard, F.lit(-1))))
+    rows = scratch.keep(sized(docs, F.coalesce(old_shard, F.lit(-1)), keep=keep))
     blocks = [tuple(r) for r in rows.groupBy("old_shard", "kind").agg(F.count("*"), F.sum("size")).orderBy("old_shard", "kind").collect()]
     moves = plan_transfers(blocks, shards) if blocks else []
     plan = spark.createDataFrame(moves, "_old int, _kind int, shard int, _lo long, _hi long")
-    placed = ranked(rows, ["old_shard", "kind"], ["size", "doc_id", "text_crc32"], "_rank", scratch)
+    placed = ranked(rows, ["old_shard", "kind"], ["size", "doc_id", "text_crc32", *keep], "_rank", scratch)
     on = (F.col("old_shard") == F.col("_old")) & (F.col("kind") == F.col("_kind")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))
-    dealt = placed.join(F.broadcast(plan), on).select("doc_id", "size", "text_crc32", "old_shard", "shard")
-    return ranked(dealt, ["shard"], ["doc_id", "text_crc32"], "slot", scratch)
+    dealt = placed.join(F.broadcast(plan), on).select("doc_id", "size", "text_crc32", "old_shard", "shard", *keep)
+    return ranked(dealt, ["shard"], ["doc_id", "text_crc32", *keep], "slot", scratch)
+
+
+def affected(layout: DataFrame) -> list[int]:
+    """Shards, old or new, that a row leaves or comes to."""
+    moved = layout.where(~F.col("old_shard").eqNullSafe(F.col("shard")))
+    return sorted(r[0] for r in moved.select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct().collect())
 
 
-def rewrite(docs: DataFrame, layout: DataFrame, folder: str, id_col: str = "doc_id") -> list[int]:
-    """Write the shards whose rows change, under folder/shard=N; returns their numbers.
+def rewrite(docs: DataFrame, layout: DataFrame, touched: list[int], folder: str, files: int = 1) -> None:
+    """Write the new state of the touched shards under folder/shard=N, rows in the order of their slots, `files` files to a shard.
 
-    A shard is affected if a row leaves it or comes to it; files of the others
-    stay as they are.  Needs unique ids.  Rows come in the order of their slots.
+    docs: the rows of the touched shards, with the columns of ROW_KEY; layout: of all rows, with those columns too.  A shard
+    that is left without rows has no folder.
     """
-    moved = layout.where(~F.col("old_shard").eqNullSafe(F.col("shard")))
-    touched = sorted({r[0] for r in moved.select(F.explode(F.array("old_shard", "shard"))).distinct().collect()} & {r[0] for r in layout.select("shard").distinct().collect()})
-    place = layout.where(F.col("shard").isin(touched)).select(F.col("doc_id").alias("_id"), "shard", "slot")
-    (
-        docs.join(place, docs[id_col] == place["_id"]).drop("_id")
-        .repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
-    )
+    some = layout.where(F.col("shard").isin(touched))
+    longest = (some.agg(F.max("slot")).first()[0] or 0) + 1
+    place = some.select(*ROW_KEY, "shard", "slot", F.floor(F.col("slot") * files / longest).cast("int").alias("_file"))
+    numbers = {s: k for k, s in enumerate(touched)}
+    number = F.element_at(F.create_map(*[F.lit(x) for p in numbers.items() for x in p]), F.col("shard")) if numbers else F.lit(0)
+    rows = docs.join(place, ROW_KEY).withColumn("_to", number * files + F.col("_file")).repartitionById(max(1, len(touched) * files), "_to")
+    rows.sortWithinPartitions("slot").drop("_to", "_file", *ROW_KEY).write.mode("overwrite").partitionBy("shard").parquet(folder)
+
+
+def reshard_folder(spark: SparkSession, folder: str, shards: int, scratch: Scratch, files: int = 1) -> list[int]:
+    """Reshard a folder of shard=N folders (doc_id, text, slot, and whatever else) in place; returns the shards that were rewritten.
+
+    Only the files of affected shards are read for their texts' rows; those of others stay as they are.  What is new is written beside
+    the folder first and moved into it when it is complete, old shards without rows are removed; a run that dies before that has changed nothing.
+    """
+    old = row_keyed(spark.read.parquet(folder))
+    layout = scratch.keep(reshard(old, F.col("shard"), shards, scratch, ROW_KEY))
+    touched = affected(layout)
+    if not touched:
+        return []
+    new = f"{folder.rstrip('/')}.new"
+    rewrite(old.where(F.col("shard").isin(touched)).drop("shard", "slot"), layout, touched, new, files)
+    filled = {r[0] for r in layout.where(F.col("shard").isin(touched)).select("shard").distinct().collect()}
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for s in touched:
+        own = jvm.org.apache.hadoop.fs.Path(f"{folder}/shard={s}")
+        fs.delete(own, True)
+        if s in filled and not fs.rename(jvm.org.apache.hadoop.fs.Path(f"{new}/shard={s}"), own):
+            raise OSError(f"can't move the new shard {s} into {folder}")
+    fs.delete(jvm.org.apache.hadoop.fs.Path(new), True)
     return touched
