@@ -25,8 +25,6 @@ TIER = 0.25
 PURITY = 20
 #: lengths of the word beginnings that are tried as terms of their own, for families of forms
 STEMS = (4, 5, 6, 7, 8)
-#: most terms that a lexicon holds; the strongest by evidence stay, which bounds what is broadcast
-MAX_TERMS = 5000
 #: labelled rows that a model is learned from, at most: those that come first by a hash of their id
 TRAIN_ROWS = 40_000
 #: words to either side of a hit that are looked at for signs of quotation
@@ -93,11 +91,12 @@ class Lexicon:
                 if len(word) >= n and word[:n] in self.stems:
                     found = (word[:n] + "*", 0)
                     break
-            if found is None and 4 <= len(word) <= 40 and self._may(word):
+            if found is None and len(word) >= 4 and self._may(word):
                 found = self._walk(word)
-        if len(self.known) > 500_000:
+        if len(self.known) > 200_000:
             self.known.clear()
-        self.known[word] = found
+        if len(word) <= 64:
+            self.known[word] = found
         return found
 
     def _may(self, word: str) -> bool:
@@ -146,14 +145,14 @@ def hits_of(text: str | None, lexicon: Lexicon) -> tuple[list[Hit], int]:
     words = _WORD.findall(low)
     match = lexicon.match
     known = lexicon.known
-    bad = {w for w in set(words) if (known[w] if w in known else match(w))}
+    bad = {w: m for w in set(words) if (m := known[w] if w in known else match(w))}
     if not bad:
         return [], len(words)
     out = []
     spans = [m.span() for m in _WORD.finditer(low)]
     for k, w in enumerate(words):
         if w in bad:
-            term, distance = match(w)
+            term, distance = bad[w]
             start, end = spans[k]
             around = words[max(0, k - WINDOW) : k] + words[k + 1 : k + 1 + WINDOW]
             left = low[spans[max(0, k - WINDOW)][0] : start]
@@ -198,7 +197,7 @@ def _evidence(p: Column, n: Column, pos: int, neg: int) -> Column:
 
 def _terms_of(text: str | None) -> set[str]:
     words = set(_WORD.findall((text or "").lower()))
-    return {"=" + w for w in words if len(w) <= 40} | {str(n) + w[:n] for w in words for n in STEMS if len(w) > n}
+    return {"=" + w for w in words} | {str(n) + w[:n] for w in words for n in STEMS if len(w) > n}
 
 
 def _families(counts: dict[str, int]) -> set[str]:
@@ -237,7 +236,7 @@ def learn(rows: DataFrame, scratch: Scratch) -> ToxicityModel | None:
 
     rows come from `training_rows`, TRAIN_ROWS at most.  Document counts of every
     word and word beginning, by label, are made over all of them; those whose
-    evidence beats chance over that many trials become terms, up to MAX_TERMS.  Misspellings
+    evidence beats chance over that many trials become terms, so a lexicon holds no more than the words of TRAIN_ROWS rows.  Misspellings
     are looked for of all terms and of all words of the toxic rows that a stem stands for.
     Weights of hits, by term, distance and context, come from counts over them
     too, and so does the last fit of four numbers.
@@ -280,7 +279,7 @@ def learn(rows: DataFrame, scratch: Scratch) -> ToxicityModel | None:
         strong = (
             left.withColumn("g", _evidence(F.col("p"), F.col("n"), in_left, neg))
             .where((F.col("g") >= 2 * math.log(10 * tried)) & ((F.col("p") + 0.5) * (neg + 1) > PURITY * (F.col("n") + 0.5) * (in_left + 1)))
-            .orderBy(F.desc("g"), "term").limit(MAX_TERMS - len(terms) - len(stems)).collect()
+            .orderBy(F.desc("g"), "term").collect()
         )
         strong = [r for r in strong if r["g"] >= TIER * strong[0]["g"]]
         new = {r["term"]: r["g"] for r in strong}
@@ -362,7 +361,7 @@ def score_table(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc
 
     Null and empty texts score as texts without hits; with no model (a label
     was missing in training) every score is 0; repeated rows repeat; other columns
-    aren't read.  One pass, nothing is exchanged; the model is bounded by MAX_TERMS and the words of TRAIN_ROWS rows behind stems.
+    aren't read.  One pass, nothing is exchanged; the model is bounded by the words of TRAIN_ROWS rows.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
