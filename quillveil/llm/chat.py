@@ -23,8 +23,9 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    plain = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(plain, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    """Escaped backslashes part the role into stretches in which \\n can only be a line end; so all is read in one pass and any character may stand in a role."""
+    parts = F.transform(F.split(unescape(role), r"\\\\"), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n")))
+    return F.array_join(parts, "\\")
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
@@ -41,7 +42,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     conversation of their own; other columns aren't read; an empty table gives no
     rows.  A conversation's turns are gathered once; its examples are cut from
     that one string a row at a time, so the examples of a long conversation never
-    stand in memory together.
+    stand in memory together; a conversation itself is one row, so it has to fit a task's memory a few
+    times over (Spark's limit of 2 GB to a string holds too).
     """
     from pyspark.sql import Window
 
