@@ -33,6 +33,12 @@ _LATER_LETTERS = (
 _LATER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
 
 
+#: Capitals that Unicode got in 16.0 and 17.0, which the tokenizer lower-cases and Python's tables may not know
+_LATER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_LATER_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_LATER_UPPER = re.compile("[" + "".join(map(chr, _LATER_LOWER)) + "]")
+
+
 def _ranges(text: str) -> str:
     return "".join("-".join(chr(int(x, 16)) for x in part.split("-")) for part in text.split())
 
@@ -62,10 +68,12 @@ class WordBPE:
 
     Texts are cut at the special tokens' strings, brought to NFC, lower-cased
     and cut at white space; each rest is cut by the split pattern and merged.
-    Results are kept for words met before, in two generations of bounded size.
+    Ids are kept for words met before, in two generations of bounded size.  Words of up to SHORT
+    parts, which are all but junk, keep their ranks in a contiguous array; for longer ones, where scanning it would be quadratic,
+    a heap finds the same minimum.
     """
 
-    def __init__(self, file: str, keep: int = 400_000):
+    def __init__(self, file: str, keep: int = 200_000):
         spec = json.loads(Path(file).read_text(encoding="utf-8"))
         model, self.keep = spec["model"], keep
         vocab: dict[str, int] = model["vocab"]
@@ -73,6 +81,7 @@ class WordBPE:
         self.token = {i: t for t, i in vocab.items()}
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.token |= {i: t for t, i in self.special.items()}
+        self.raw = [self.token.get(i, "").encode() for i in range(max(self.token) + 1)]
         self.special_cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         alphabet = _byte_alphabet()
         self.inner = [vocab[c] for c in alphabet]
@@ -85,9 +94,7 @@ class WordBPE:
             self.rank[vocab[a], vocab[b]] = r
             self.merged.append(vocab[a + b])
         self.ids: dict[str, bytes] = {}
-        self.shown: dict[str, bytes] = {}
         self.old_ids: dict[str, bytes] = {}
-        self.old_shown: dict[str, bytes] = {}
 
     def merge(self, parts: list[int]) -> list[int]:
         """Merge the pair of lowest rank, leftmost first, until none is left."""
@@ -128,9 +135,8 @@ class WordBPE:
         return [p for p in parts if p >= 0]
 
     def _word(self, word: str) -> bytes:
-        """Ids of a stretch without white space, as bytes; both results are kept."""
+        """Ids of a stretch without white space, as bytes, which are kept."""
         found = self.old_ids.get(word)
-        shown = self.old_shown.get(word)
         if found is None:
             ids: list[int] = []
             for piece in (_ASCII_PIECES if word.isascii() else _PIECES).findall(word):
@@ -139,49 +145,45 @@ class WordBPE:
                 parts[-1] = self.last[raw[-1]]
                 ids += self.merge(parts)
             found = self.pack(*ids) if len(ids) == 1 else np.array(ids, "<u4").tobytes() if len(ids) > 24 else struct.pack(f"<{len(ids)}I", *ids)
-            shown = " ".join(map(self.token.__getitem__, ids)).encode()
         if len(self.ids) >= self.keep:
-            self.old_ids, self.old_shown, self.ids, self.shown = self.ids, self.shown, {}, {}
+            self.old_ids, self.ids = self.ids, {}
         if len(word) <= 64:
-            self.ids[word], self.shown[word] = found, shown
-        return found, shown
+            self.ids[word] = found
+        return found
 
-    def _plain(self, text: str) -> tuple[list[bytes], list[bytes]]:
+    def _plain(self, text: str) -> list[bytes]:
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # lower-cased without regard to its place in the word
                 text = text.replace("Σ", "σ")
+            if _LATER_UPPER.search(text):
+                text = text.translate(_LATER_LOWER)
         text = text.lower()
         words = [w for w in _SPLIT.split(text) if w] if _ODD_SPACE.search(text) else text.split()
         ids = list(map(self.ids.get, words))
-        shown = list(map(self.shown.get, words))
         if None in ids:
             for k, got in enumerate(ids):
                 if got is None:
-                    ids[k], shown[k] = self._word(words[k])
-        return ids, shown
+                    ids[k] = self._word(words[k])
+        return ids
 
-    def encode(self, text: str | None) -> tuple[bytes, bytes]:
-        """Ids as little-endian unsigned 32-bit integers, and the decoded text in UTF-8."""
+    def encode(self, text: str | None) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         text = text or ""
         if self.special_cut is None or "<|" not in text and not any(s in text for s in self.special):
-            ids, shown = self._plain(text)
-        else:
-            ids, shown = [], []
-            for part in self.special_cut.split(text):
-                if part in self.special:
-                    ids.append(np.array([self.special[part]], "<u4").tobytes())
-                    shown.append(part.encode())
-                elif part:
-                    a, b = self._plain(part)
-                    ids += a
-                    shown += b
-        return b"".join(ids), b" ".join(shown)
-
-    def decode(self, ids: bytes) -> str:
-        """As decode(ids, skip_special_tokens=False) of a file without a decoder: tokens with blanks between."""
-        return " ".join(self.token[int(i)] for i in np.frombuffer(ids, "<u4"))
+            return b"".join(self._plain(text))
+        ids: list[bytes] = []
+        for part in self.special_cut.split(text):
+            if part in self.special:
+                ids.append(self.pack(self.special[part]))
+            elif part:
+                ids += self._plain(part)
+        return b"".join(ids)
+
+    def decode(self, ids: bytes) -> bytes:
+        """As decode(ids, skip_special_tokens=False) of a file without a decoder, in UTF-8: tokens with blanks between."""
+        return b" ".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 _LOADED: dict[str, WordBPE] = {}
@@ -209,13 +211,14 @@ def encode_table(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             n, a, b, ids, texts = [], [], [], [], []
             for text in batch.column(1).to_pylist():
-                got, shown = bpe.encode(text)
+                got = bpe.encode(text)
+                shown = bpe.decode(got)
                 n.append(len(got) // 4)
                 a.append(hashlib.sha256(got).hexdigest())
                 b.append(hashlib.sha256(shown).hexdigest())
                 if with_ids:
                     ids.append(np.frombuffer(got, "<u4").astype(np.int32))
-                    texts.append(bpe.decode(got))
+                    texts.append(shown.decode())
             cols = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
