@@ -74,6 +74,32 @@ def test_lattice_sums_all_segmentations():
     assert lattice.log_likelihood([b"x" * 3000], pieces, pieces.prior)[0] < -1000
 
 
+def _brute_lm(rows, got, held):
+    """Scores by the formulas, word by word, with one class."""
+    pieces = lattice.load_pieces(pt.path("piece_bpe_32k.model"))
+    train = [t for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for t in train for w in (t or "").encode().lower().split())
+    log_p = pieces.prior
+    for _ in range(lm_score.ROUNDS):
+        total = np.full(pieces.size, lm_score.PIECE_PRIOR) + lattice.expected_counts(sorted(c), np.ones(len(c)), pieces, log_p)[0]
+        log_p = np.log(total / total.sum())
+    n, v, once, twice = sum(c.values()) + len(train), len(c) + 1, sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
+    d, novel = lm_score.discount(once, twice), (once + 1) / (once + 2)
+    want = []
+    for i, t in rows:
+        score, plain = math.log(len(train) / n), 0.0
+        ws = (t or "").encode().lower().split()
+        for w in ws:
+            z = lattice.log_likelihood([w], pieces, log_p)[0]
+            p = max(c[w] - d, 0) / n + d * v / n * ((1 - novel) * c[w] / n + novel * math.exp(max(z, -700)))
+            score += math.log(p) if p > 1e-290 else math.log(d * v / n * novel) + z
+            plain += z
+        want.append((i, len(ws) + 1, score / math.log(10), plain / math.log(10)))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], round(r[2], 6))
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key)):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9) and a[3] == pytest.approx(b[3], rel=1e-9, abs=1e-12)
+
+
 def test_lm_scores(spark, scratch):
     rng = random.Random(2)
     rows = [(k, words(rng, rng.randrange(30))) for k in range(60)] + [(60, None), (61, ""), (62, "NEU neu \x0b ünd"), (62, "again"), (63, "z" * 5000), (None, "w1")]
@@ -89,7 +115,8 @@ def test_lm_scores(spark, scratch):
         by[i].append((len(ws) + 1, sum(w in c for w in ws) + 1, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws) + math.log10((len(train) + 1) / (n + v + 1))))
     for r in out:
         assert any(r["n_tokens"] == a and r["n_known"] == b and math.isclose(r["base_score"], s, rel_tol=1e-9) for a, b, s in by[r["doc_id"]])
-        assert r["train_tokens"] == n and r["score"] < 0 and math.isfinite(r["score"])
+        assert r["train_tokens"] == n and r["score"] < 0 and math.isfinite(r["score"]) and math.isfinite(r["lattice_score"])
+    _brute_lm(rows, [(r["doc_id"], r["n_tokens"], r["score"], r["lattice_score"]) for r in out], held)
     assert lm_score.score_texts(docs_of(spark, []), held, pt.path("piece_bpe_32k.model"), scratch).count() == 0
 
 
@@ -99,12 +126,15 @@ def test_vectors(spark, scratch, monkeypatch):
     x = np.concatenate([base, base[:10] + 0.05 * rng.standard_normal((10, 16)), base[0] + 0.03 * rng.standard_normal((150, 16)), base[0] + 0.45 * rng.standard_normal((40, 16))])
     rows = [(k, [float(f) for f in v], "c", 0) for k, v in enumerate(x)] + [(900, None, "c", 0), (901, [0.0] * 16, "c", 0), (902, [float("nan")] * 16, "c", 0), (903, [1.0, None], "c", 0), (904, [1.0, 0.0], "c", 0), (905, [1.0, 0.0], "c", 0), (905, [1.0, 0.0], "c", 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, component string, n int")
-    monkeypatch.setattr(rp_forest, "LEAF_ROWS", 40)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     sim = u @ u.T >= 0.9
     np.fill_diagonal(sim, False)
-    got = rp_forest.near_duplicates(df, scratch).collect()
+    got = rp_forest.near_duplicates(df, scratch, leaf_rows=40).collect()
     assert len(got) == len(rows)
+    # leaves that a small sample left too large are split again from their own rows; clumps stay whole and are compared in blocks
+    monkeypatch.setattr(rp_forest, "BLOCK", 25)
+    again = {r["vec_id"]: r for r in rp_forest.near_duplicates(df, scratch, leaf_rows=12, sample_rows=70).collect() if r["vec_id"] < 900}
+    assert 0.9 * sim.sum() <= sum(r["n_links"] for r in again.values()) <= sim.sum() and all(again[k]["n_links"] <= sim[k].sum() for k in again)
     one = {r["vec_id"]: r for r in got if r["vec_id"] < 900}
     found, there = sum(r["n_links"] for r in one.values()), int(sim.sum())
     assert 0.9 * there <= found <= there and all(one[k]["n_links"] <= sim[k].sum() for k in one)
@@ -136,7 +166,7 @@ def test_toxicity(spark, scratch):
 def test_misspellings_of_all_terms_and_forms(spark, scratch):
     rng = random.Random(50)
     word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(4, 14)))
-    terms = {word(): 1000.0 - k for k in range(600)}
+    terms = {word(): 1000.0 - k for k in range(600)} | {"abcde" * 11: 1.0, "x" * 300: 1.0}
     stems = {"zzfa": 5.0}
     forms = {"zzfa" + word(): "zzfa" for _ in range(20)}
     lex = toxicity.Lexicon(terms, stems, forms)
@@ -155,8 +185,8 @@ def test_misspellings_of_all_terms_and_forms(spark, scratch):
             w = w[:k] + rng.choice(["", "a", "f", w[k] + "b"]) + w[k + 1 :]
         return w
 
-    for w in [misspelt(t) for t in [*rng.sample(sorted(terms), 100), *forms]]:
-        if w in terms or w.startswith("zzfa") or not 4 <= len(w) <= 40:
+    for w in [misspelt(t) for t in [*rng.sample(sorted(terms), 100), "abcde" * 11, "x" * 300, *forms]]:
+        if w in terms or w.startswith("zzfa") or len(w) < 4:
             continue
         near = [(d, t) for t in terms.keys() | forms.keys() if (d := distance(w, t)) <= toxicity.edits_for(t)]
         best = min(near) if near else None
@@ -217,6 +247,9 @@ def test_chat(spark):
     by = {(r["conv_id"], r["example"]): r for r in ex}
     assert [tuple(t) for t in by[1, 2]["t"]] == [("user", "hi"), ("assistant", evil), ("user", ""), ("assistant", ""), ("user", "bye")]
     assert [by[1, k]["loss"] for k in range(3)] == [evil, "", ""] and len(by[1, 0]["t"]) == 2
+    odd = ["a\0b", "\\", "\\n", "\n\\\n", "\\\\n", "<\\|\0", ""]
+    back = chat.format_chats(spark.createDataFrame([(k, 0, r, "t") for k, r in enumerate(odd)], "conv_id long, turn long, role string, text string"))
+    assert {r[0]: r[1] for r in back.select("conv_id", chat.read_turns(F.col("formatted"))[0]["role"]).collect()} == dict(enumerate(odd))
     assert [tuple(t) for t in by[2, 0]["t"]] == [("a\n\\n<|b", "t")] and len(by[3, 0]["t"]) == 2 and by[None, 0]["loss"] == "n"
     assert chat.format_chats(df.limit(0)).count() == 0
 
@@ -323,9 +356,25 @@ def test_resharding(spark, scratch, tmp_path):
     assert moved <= least + max(max(v) for v in sizes.values())
     assert all(r["size"] == 8 for r in out if r["doc_id"] == 3)
     assert sharding.reshard(docs.limit(0), old, 6, scratch).count() == 0
-    plain = docs.where("doc_id <> 5")
-    touched = sharding.rewrite(plain, sharding.reshard(plain, old, 6, scratch), str(tmp_path / "shards"))
-    assert touched and spark.read.parquet(str(tmp_path / "shards")).count() <= plain.count()
+    # a folder of 8 shards to 4 and to 11, with repeated rows and null ids: all rows stay, once each, and shards that none leaves or comes to are untouched
+    rows += [(None, "none", "s1"), (None, "none", "s1")]
+    folder = str(tmp_path / "shards")
+    first = spark.createDataFrame([(i, t, k % 8 if k % 3 else 1, k) for k, (i, t, _) in enumerate(rows)], "doc_id long, text string, shard int, slot long")
+    first.write.partitionBy("shard").parquet(folder)
+    before = Counter((i, t) for i, t, _ in rows)
+    for n in (4, 11, 11):
+        held = {p.name: sorted(f.name for f in p.iterdir()) for p in (tmp_path / "shards").glob("shard=*")}
+        touched = sharding.reshard_folder(spark, folder, n, scratch, files=2)
+        now = spark.read.parquet(folder).collect()
+        assert Counter((r["doc_id"], r["text"]) for r in now) == before and {r["shard"] for r in now} == set(range(n))
+        sizes = Counter(r["shard"] for r in now)
+        assert max(sizes.values()) - min(sizes.values()) <= 1
+        for s in sizes:
+            if s in touched:
+                assert sorted(r["slot"] for r in now if r["shard"] == s) == list(range(sizes[s]))
+            else:
+                assert sorted(f.name for f in (tmp_path / "shards" / f"shard={s}").iterdir()) == held[f"shard={s}"]
+    assert touched == []
 
 
 def test_bpe(spark):
@@ -333,7 +382,7 @@ def test_bpe(spark):
 
     file = pt.path("word_bpe_49k.json")
     t = Tokenizer.from_file(file)
-    texts = ["", None, "  \t", "Hello World's <|endoftext|> it'll", "ΟΔΟΣ İ ﬁ é é", "a\x1cb c　d", "x" * 700, "ab!?" * 200, "12 ½ 漢字 🎉", "dup", "dup"]
+    texts = ["", None, "  \t", "Hello World's <|endoftext|> it'll", "ΟΔΟΣ İ ﬁ é é", "a\x1cb c　d", "x" * 700, "ab!?" * 200, "12 ½ 漢字 🎉", "dup", "dup", "aꟋBᲉ𐵐", "ab" * 60_000]
     docs = docs_of(spark, list(enumerate(texts)))
     for r in word_bpe.encode_table(docs, file, with_ids=True).collect():
         e = t.encode(texts[r["doc_id"]] or "", add_special_tokens=False)
