@@ -88,7 +88,7 @@ FROM e GROUP BY conv_id
 
 @query
 def op9_min_cost_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sharding import affected, reshard, rewrite, text_crc
+    from .sharding import affected, reshard, rewrite, size_of, text_crc
 
     scratch = Scratch(spark, "op9")
     docs = row_keyed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -96,11 +96,10 @@ def op9_min_cost_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     layout = scratch.keep(reshard(docs, old, 24, scratch, ROW_KEY))
     # the sources' files are the old shards; all that a row leaves or comes to are written anew, and the rows below are those files'
     touched, folder = affected(layout), scratch.path()
-    rewrite(docs.drop("source"), layout, touched, folder, files=max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 24))
+    rewrite(docs.withColumn("_was", old).drop("source"), F.col("_was"), layout, touched, folder, files=max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 24))
     stay = layout.where(~F.col("shard").isin(touched)).select("doc_id", "size", "text_crc32", "shard", "slot")
-    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long")
     written = spark.read.schema("doc_id long, text string, slot long, shard int").parquet(folder) if touched else docs.select("doc_id", "text", F.lit(0).cast("long").alias("slot"), F.lit(0).alias("shard")).limit(0)
-    out = written.select("doc_id", size.alias("size"), text_crc("text").alias("text_crc32"), "shard", "slot").union(stay)
+    out = written.select("doc_id", size_of("text").alias("size"), text_crc("text").alias("text_crc32"), "shard", "slot").union(stay)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -110,13 +110,17 @@ def plan_transfers(blocks: list[tuple[int, int, int, int]], shards: int) -> list
 
 def sized(docs: DataFrame, old_shard, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
     """(doc_id, size, text_crc32, old_shard, kind), and columns to keep: size is the text's UTF-8 bytes and 8."""
-    size = (F.coalesce(F.octet_length(text_col), F.lit(0)) + 8).cast("long")
+    size = size_of(text_col)
     return docs.select(
         F.col(id_col).alias("doc_id"), size.alias("size"), text_crc(text_col).alias("text_crc32"), old_shard.cast("int").alias("old_shard"),
         F.floor(F.log2(size) * CLASSES_PER_OCTAVE).cast("int").alias("kind"), *keep,
     )
 
 
+def size_of(text_col: str):
+    return (F.coalesce(F.octet_length(text_col), F.lit(0)) + 8).cast("long")
+
+
 def text_crc(text_col: str):
     return F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
 
@@ -153,19 +157,30 @@ def affected(layout: DataFrame) -> list[int]:
     return sorted(r[0] for r in moved.select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct().collect())
 
 
-def rewrite(docs: DataFrame, layout: DataFrame, touched: list[int], folder: str, files: int = 1) -> None:
+def rewrite(docs: DataFrame, old_shard, layout: DataFrame, touched: list[int], folder: str, files: int = 1) -> None:
     """Write the new state of the touched shards under folder/shard=N, rows in the order of their slots, `files` files to a shard.
 
-    docs: the rows of the touched shards, with the columns of ROW_KEY; layout: of all rows, with those columns too.  A shard
-    that is left without rows has no folder.
+    docs: rows with doc_id, text, the columns of ROW_KEY and what else is to be written, of the touched shards at least; layout: as `reshard` gives
+    it, with ROW_KEY.  Where a row goes shows in itself: what a block gives to a shard is a range of its rows' order, and so is a
+    file's part of a shard.  The bounds of these ranges, a row for each transfer and each file, are all that is sent to the tasks, and texts are
+    exchanged once.  A shard that is left without rows has no folder.
     """
-    some = layout.where(F.col("shard").isin(touched))
+    by_size, by_id = ["size", "doc_id", "text_crc32", *ROW_KEY], ["doc_id", "text_crc32", *ROW_KEY]
+    kind = F.floor(F.log2("size") * CLASSES_PER_OCTAVE).cast("int")
+    some = layout.where(F.col("shard").isin(touched)).withColumn("kind", kind)
     longest = (some.agg(F.max("slot")).first()[0] or 0) + 1
-    place = some.select(*ROW_KEY, "shard", "slot", F.floor(F.col("slot") * files / longest).cast("int").alias("_file"))
-    numbers = {s: k for k, s in enumerate(touched)}
-    number = F.element_at(F.create_map(*[F.lit(x) for p in numbers.items() for x in p]), F.col("shard")) if numbers else F.lit(0)
-    rows = docs.join(place, ROW_KEY).withColumn("_to", number * files + F.col("_file")).repartitionById(max(1, len(touched) * files), "_to")
-    rows.sortWithinPartitions("slot").drop("_to", "_file", *ROW_KEY).write.mode("overwrite").partitionBy("shard").parquet(folder)
+    given = some.groupBy(F.col("old_shard").alias("_old"), F.col("kind").alias("_kind"), "shard").agg(F.min(F.struct(*by_size)).alias("_from"), F.max(F.struct(*by_size)).alias("_to"))
+    parts = some.groupBy(F.col("shard").alias("_shard"), F.floor(F.col("slot") * files / longest).cast("int").alias("_file")).agg(
+        F.min(F.struct(*by_id)).alias("_first"), F.max(F.struct(*by_id)).alias("_last"), F.min("slot").alias("_slot")
+    )
+    own = docs.withColumn("size", size_of("text")).withColumn("text_crc32", text_crc("text")).withColumn("old_shard", F.coalesce(old_shard, F.lit(-1)).cast("int"))
+    dealt = own.join(F.broadcast(given), (F.col("old_shard") == F.col("_old")) & (kind == F.col("_kind")) & F.struct(*by_size).between(F.col("_from"), F.col("_to")))
+    placed = dealt.join(F.broadcast(parts), (F.col("shard") == F.col("_shard")) & F.struct(*by_id).between(F.col("_first"), F.col("_last")))
+    number = F.element_at(F.create_map(*[F.lit(x) for p in enumerate(touched) for x in reversed(p)]), F.col("shard")) * files + F.col("_file") if touched else F.lit(0)
+    more = [c for c in docs.columns if c not in ROW_KEY and not c.startswith("_")]
+    rows = placed.select(*more, "text_crc32", *ROW_KEY, "shard", "_slot", number.alias("_number")).repartitionById(max(1, len(touched) * files), "_number").sortWithinPartitions(*by_id)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows.select(*more, "shard", (F.col("_slot") + place).alias("slot")).write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(folder)
 
 
 def reshard_folder(spark: SparkSession, folder: str, shards: int, scratch: Scratch, files: int = 1) -> list[int]:
@@ -180,7 +195,7 @@ def reshard_folder(spark: SparkSession, folder: str, shards: int, scratch: Scrat
     if not touched:
         return []
     new = f"{folder.rstrip('/')}.new"
-    rewrite(old.where(F.col("shard").isin(touched)).drop("shard", "slot"), layout, touched, new, files)
+    rewrite(old.where(F.col("shard").isin(touched)).withColumnRenamed("shard", "_was").drop("slot"), F.col("_was"), layout, touched, new, files)
     filled = {r[0] for r in layout.where(F.col("shard").isin(touched)).select("shard").distinct().collect()}
     jvm = spark._jvm
     fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
