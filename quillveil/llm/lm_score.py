@@ -22,7 +22,7 @@ HOT_BYTES = 48
 #: classes that get word counts of their own: the most frequent ones in training; all others are one more class
 MAX_CLASSES = 6
 #: rounds of expectation maximisation for the pieces
-ROUNDS = 2
+ROUNDS = 1
 #: words that the lattice is worked over at once, so that blocks of equal length are long
 WORDS_AT_ONCE = 60_000
 #: count that every piece has before any word is seen
