@@ -21,7 +21,7 @@ ROUNDS = 4
 #: share of a round's best evidence that its terms have at least: words that merely stand in the same
 #: toxic rows are explained by then, and don't come up again over the rows that are left
 TIER = 0.25
-#: times as frequent in toxic rows as in others that a term is at least
+#: times as frequent in toxic rows as in others that a term is at least, quotations of it not counted
 PURITY = 20
 #: lengths of the word beginnings that are tried as terms of their own, for families of forms
 STEMS = (4, 5, 6, 7, 8)
@@ -139,6 +139,26 @@ class Hit:
     quoted: bool
 
 
+def _unquoted(low: str) -> set[str]:
+    """Words of a lower-cased text that stand in it outside quotation at least once, by the same signs as in `hits_of`."""
+    words = _WORD.findall(low)
+    every = set(words)
+    marks = [k for k, c in enumerate(low) if c in _QUOTES] if any(q in low for q in _QUOTES) else []
+    reports = [k for k, w in enumerate(words) if w in REPORTING] if not REPORTING.isdisjoint(every) else []
+    if len(marks) < 2 and not reports:
+        return every
+    n = len(words)
+    at = np.arange(n)
+    first, last = np.maximum(0, at - WINDOW), np.minimum(n - 1, at + WINDOW)
+    starts, ends = np.array([m.span() for m in _WORD.finditer(low)]).reshape(n, 2).T
+    left = np.searchsorted(marks, starts) > np.searchsorted(marks, starts[first])
+    right = np.searchsorted(marks, ends[last]) > np.searchsorted(marks, ends)
+    told = np.zeros(n + 1, np.int64)
+    told[1:] = np.cumsum(np.isin(at, reports))
+    reported = told[last + 1] - told[first] > told[at + 1] - told[at]
+    return {words[k] for k in np.flatnonzero(~(left & right | reported))}
+
+
 def hits_of(text: str | None, lexicon: Lexicon) -> tuple[list[Hit], int]:
     """Lexicon hits of a whole text with their context, and its number of words."""
     low = (text or "").lower()
@@ -196,7 +216,7 @@ def _evidence(p: Column, n: Column, pos: int, neg: int) -> Column:
 
 
 def _terms_of(text: str | None) -> set[str]:
-    words = set(_WORD.findall((text or "").lower()))
+    words = _unquoted((text or "").lower())
     return {"=" + w for w in words} | {str(n) + w[:n] for w in words for n in STEMS if len(w) > n}
 
 
@@ -235,8 +255,8 @@ def learn(rows: DataFrame, scratch: Scratch) -> ToxicityModel | None:
     """Learn from rows (text, toxic 0/1); None if one of the labels is missing.
 
     rows come from `training_rows`, TRAIN_ROWS at most.  Document counts of every
-    word and word beginning, by label, are made over all of them; those whose
-    evidence beats chance over that many trials become terms, so a lexicon holds no more than the words of TRAIN_ROWS rows.  Misspellings
+    word and word beginning that stands outside quotation, by label, are made over all of them; those whose
+    evidence beats chance over that many trials become terms (so a term that clean rows only quote is learned too), so a lexicon holds no more than the words of TRAIN_ROWS rows.  Misspellings
     are looked for of all terms and of all words of the toxic rows that a stem stands for.
     Weights of hits, by term, distance and context, come from counts over them
     too, and so does the last fit of four numbers.

@@ -197,6 +197,19 @@ def test_misspellings_of_all_terms_and_forms(spark, scratch):
     assert [learned.match(w) for w in ("idiiot", "ediot", "idoitic", "idi0tic")] == [("idio*", 1), ("idio*", 1), None, ("idio*", 1)]
 
 
+def test_terms_that_are_mostly_quoted(spark, scratch):
+    rng = random.Random(51)
+    for _ in range(300):
+        text = "".join(rng.choice(["idiot", "w1", "W2", "said", " ", " ", ", ", '"', "'", "«", "ß", "x y z a b"]) + rng.choice(["", " "]) for _ in range(rng.randrange(40))).lower()
+        every = {w: 9.0 for w in toxicity._WORD.findall(text)}
+        hits, _ = toxicity.hits_of(text, toxicity.Lexicon(every, {}))
+        assert toxicity._unquoted(text) == {h.term for h in hits if not h.quoted}
+    rows = [(words(rng, 40) + (" idiot " if k % 8 == 0 else ' he said "you idiot" then ' if k % 8 < 5 else " ") + words(rng, 40), int(k % 8 == 0)) for k in range(400)]
+    model = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int"), scratch)
+    assert "idiot" in model.lexicon.terms and "said" not in model.lexicon.terms
+    assert model.score("w1 w2 w3 idiot w4 w5 w6") > 0.3 > model.score('w1 w2 said "you idiot" w3 w4') and model.score("w1 w2") < 0.3
+
+
 SMALL = jaccard_join.Limits(pairs_from=3, threes_from=6, heavy_share=0.0, heavy_least=10, tokens_at_once=3000, block=3, block_tokens=2000)
 
 
